@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gossamer.functions.url import host_of, normalize_url
+
 KINDS = ("count", "sum", "min", "max")
 
 
@@ -42,6 +44,44 @@ def salted_aggregate(df: DataFrame, keys: Sequence[str], measures: dict[str, tup
 def heavy_keys(df: DataFrame, key: str, share: float, salts: int = 64) -> DataFrame:
     """(key, n_rows, n_total) of the keys on at least ``share`` of all rows. Rows with a null key count in the total, but are no key."""
     counts = salted_aggregate(df, [key], {"n_rows": ("count", F.lit(1))}, salts)
-    total = counts.agg(F.sum("n_rows").alias("n_total"))
-    # The total is one row by construction, so this broadcast can't grow.
-    return counts.where(F.col(key).isNotNull()).join(F.broadcast(total), F.col("n_rows") >= F.lit(share) * F.col("n_total"))
+    total = counts.agg(F.sum("n_rows").alias("n_total")).scalar()
+    return counts.where(F.col(key).isNotNull()).withColumn("n_total", total).where(F.col("n_rows") >= F.lit(share) * F.col("n_total"))
+
+
+def crawlable_messages(messages: DataFrame) -> DataFrame:
+    """(msg_id, url) with the url normalized: one row a message; null ids and URLs that can't be crawled give none.
+
+    A message delivered twice has equal rows, so a distinct over both columns keeps one.
+    """
+    normal = messages.select("msg_id", normalize_url(F.col("url")).alias("url"))
+    return normal.where(F.col("msg_id").isNotNull() & F.col("url").isNotNull()).distinct()
+
+
+def host_counts(messages: DataFrame, salts: int = 64) -> DataFrame:
+    """(host, n_rows): distinct messages with a crawlable url per host in lower case, salted."""
+    hosts = crawlable_messages(messages).select(host_of(F.col("url")).alias("host"))
+    return salted_aggregate(hosts, ["host"], {"n_rows": ("count", F.lit(1))}, salts)
+
+
+def heavy_hosts(document: DataFrame, messages: DataFrame, share: float = 0.04, salts: int = 64) -> DataFrame:
+    """(table_name, registered_domain): hosts on at least ``share`` of the rows of document, and of the crawlable messages."""
+    documents = heavy_keys(document.select("registered_domain"), "registered_domain", share, salts)
+    hosts = crawlable_messages(messages).select(host_of(F.col("url")).alias("registered_domain"))
+    frontier = heavy_keys(hosts, "registered_domain", share, salts)
+    return documents.select(F.lit("document").alias("table_name"), "registered_domain").unionAll(frontier.select(F.lit("frontier_message").alias("table_name"), "registered_domain"))
+
+
+def domain_profile(document: DataFrame, salts: int = 64) -> DataFrame:
+    """Per registered_domain: rows, rows with a body, bytes, first sight and last fetch in microseconds; null domains are one group."""
+    return salted_aggregate(
+        document,
+        ["registered_domain"],
+        {
+            "n_rows": ("count", F.lit(1)),
+            "n_bodies": ("count", F.col("content_hash")),
+            "total_bytes": ("sum", F.coalesce(F.col("content_length"), F.lit(0)).cast("long")),
+            "first_seen_us": ("min", F.unix_micros("first_seen")),
+            "last_crawled_us": ("max", F.unix_micros("last_crawled")),
+        },
+        salts,
+    )
