@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gossamer.llm import boilerplate, neardup, residue, spam
+from gossamer.functions.url import duckdb_normalized
+from gossamer.llm import boilerplate, neardup, residue, seen, spam
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,13 +26,24 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.own_nodes(table(spark, d, "page_body"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return seen.repeated_messages(table(spark, d, "frontier_message"))
+
+
+def p4_wrong_answers(spark: SparkSession, d: str) -> DataFrame:
+    return seen.wrong_answer_rate(table(spark, d, "frontier_message"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_documents(table(spark, d, "document"), table(spark, d, "page_body"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_wrong_answers, p5_found)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": f"""WITH m AS (SELECT msg_id, {duckdb_normalized('url')} AS u FROM frontier_message)
+            SELECT DISTINCT msg_id FROM (SELECT msg_id, min(msg_id) OVER (PARTITION BY u) AS least FROM m WHERE u IS NOT NULL AND msg_id IS NOT NULL) WHERE msg_id > least""",
+    }
