@@ -67,3 +67,9 @@ def band_values(fingerprint: Column, bands: int = 4, bits: int = BITS) -> Column
     width = bits // bands
     mask = F.lit((1 << width) - 1 if width < 64 else -1).cast("long")
     return F.array(*[F.shiftrightunsigned(fingerprint, i * width).bitwiseAND(mask) for i in range(bands)])
+
+
+@F.pandas_udf(T.LongType())
+def token_hashes(tokens: pd.Series) -> pd.Series:
+    """Signed ``token_hash`` of each token; null stays null."""
+    return pd.Series([None if t is None else signed64(token_hash(t)) for t in tokens], dtype="Int64")
