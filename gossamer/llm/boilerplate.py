@@ -48,6 +48,9 @@ CHROME_HEAD = re.compile(
 BYLINE = re.compile(r"^(?:by|von|par|por|di|door|autor|av)\s+\w|\b\d+\s*min(?:ute)?s?\s+read\b|^\d{1,2}\.?\s+\w+(?:\s+\d{4})?$|^(?:posted|published|updated|last changed)\b", re.I)
 SHARE = re.compile(r"^(?:share(?: this(?: page| post| article)?)?|print|mail|e-?mail|post|pin|tweet|copy link|recommend|save(?: for later)?|like|bookmark|follow|send|download pdf|teilen|drucken|partager|imprimer|compartir|condividi|stampa|delen|udostępnij|partilhar|dela)$", re.I)
 ADVERT = re.compile(r"^(?:advertisement|advert|anzeige|publicité|publicidad|pubblicità|advertentie|reklama|publicidade|annons|sponsored\b.*|partner offer\b.*|promoted\b.*|ad)$|\b(?:sale|offer) ends\b", re.I)
+#: A line of a footer: short, with a year, and closed by a full stop or made of parts.
+FOOT = re.compile(r"(?<!\d)(?:19|20)\d\d(?!\d)")
+FOOT_PARTS = re.compile(r"[.©·|]|copyright", re.I)
 SENTENCE_END = (".", "!", "?", "…", ".”", '."', "。")
 
 
@@ -116,6 +119,7 @@ def label_page(html: str) -> Page:
     buttons = {parent[e] for e in range(m) if tag[e] in ("button", "form", "select")}
     # The main box: where most running text hangs directly, or the headline.
     score: dict[int, float] = {}
+    lent: dict[int, float] = {}
     for i in range(n):
         e = elem[i]
         if chrome[e]:
@@ -135,7 +139,17 @@ def label_page(html: str) -> Page:
         if home == b and tag[b] == "div":
             # A div with text of its own may be a mere paragraph of the box around it.
             outer = box[parent[b]]
-            score[outer] = score.get(outer, 0.0) + gain * (0.9 if outer else 0.5)
+            part = gain * (0.9 if outer else 0.5)
+            score[outer] = score.get(outer, 0.0) + part
+            lent[home] = lent.get(home, 0.0) + part
+    for i in range(n // 3, n):  # a box that closes the page with a dated line is a footer
+        b = block[elem[i]]
+        if words[i] <= 14 and score.get(box[b]) and box[b] and not link[elem[i]] and tag[b] not in HEADS and FOOT.search(text[i]) and FOOT_PARTS.search(text[i]):
+            home = box[b]
+            if sum(words[k] for k in range(n) if box[block[elem[k]]] == home) <= 60 and not any(box[block[elem[k]]] == home and tag[block[elem[k]]] == "h1" for k in range(n)):
+                score[home] = 0.0
+                if home in lent:
+                    score[box[parent[home]]] -= lent.pop(home)
     for i in range(n):  # a box that opens with a chrome heading is no main box
         b = block[elem[i]]
         if tag[b] in HEADS and tag[b] != "h1" and CHROME_HEAD.match(text[i]):

@@ -34,6 +34,7 @@ PLACEHOLDER = re.compile(
     r"|(?<![\w{$])\{[A-Za-z][\w .-]{0,30}\}(?!\})"  # {name}
     r"|(?<![\w\[])\[(?!(?:sic|edit|citation needed|\.\.\.|pdf|video|update|ed)\])(?:[A-Za-z][A-Za-z_]*(?: [A-Za-z_]+){0,3})\](?![\](])"  # [name]
     r"|(?<!\S)\?\?(?!\S)"  # ?? km
+    r"|(?<![\w%])%(?:s|d|\d\$s)(?!\w)"  # %s
 )
 #: Spots that a template filled with nothing or with a missing value.
 EMPTY_FILL = re.compile(
