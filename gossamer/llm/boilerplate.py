@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from gossamer.functions.html import TAG, TOKEN, body_part, is_html, page_text, title_of
+from gossamer.llm.frames import frame
 from gossamer.llm.maxflow import min_cut
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -286,7 +287,7 @@ def own_nodes(bodies: DataFrame) -> DataFrame:
                 if own:
                     hashes.append(h)
                     numbers.append(own)
-            yield pd.DataFrame({"content_hash": hashes, "nodes": numbers})
+            yield frame(content_hash=hashes, nodes=numbers)
 
     html = bodies.where(is_html(bodies["content_type"]) & bodies["content_hash"].isNotNull() & bodies["body"].isNotNull())
     labelled = html.select("content_hash", "body", "content_type").mapInPandas(run, "content_hash string, nodes array<int>")

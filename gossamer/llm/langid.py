@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gossamer.llm.frames import frame
+
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pl", "pt", "sv")
 # Spellings of the languages by ISO 639-1, 639-2 (both variants) and English name.
 SPELLINGS = {
@@ -266,7 +268,7 @@ def language_rows(documents: DataFrame, training: dict[str, str]) -> DataFrame:
                 for i in range(len(ps)):
                     if ps[i].strip():
                         add(i + 1, parser.languages[own[i] if differs[i] else main], sure[i], whole)
-            yield pd.DataFrame({"doc_id": doc_id, "para_no": para_no, "lang": lang, "confidence": confidence, "label": labels, "doc_lang": doc_lang})
+            yield frame(doc_id=doc_id, para_no=para_no, lang=lang, confidence=confidence, label=labels, doc_lang=doc_lang)
 
     schema = "doc_id long, para_no int, lang string, confidence double, label string, doc_lang string"
     return documents.select("doc_id", "text", "lang").where("doc_id IS NOT NULL").mapInPandas(run, schema)

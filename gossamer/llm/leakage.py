@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gossamer.llm.frames import frame
 from gossamer.llm.neardup import _P1, _P3, _mix, _word_hash, words_of
 
 RUN = 13
@@ -100,7 +101,7 @@ def leaked_windows(documents: DataFrame, items: DataFrame, run: int = RUN) -> Da
                     ids.append(doc)
                     keys.append(key)
                     texts.append(" ".join(words[i : i + run]))
-            yield pd.DataFrame({"doc_id": ids, "key": keys, "words": texts})
+            yield frame(doc_id=ids, key=keys, words=texts)
 
     every = docs.mapInPandas(windows, "doc_id long, key long, words string")
     return every.join(queries, ["key", "words"]).select("doc_id", "item_id", "words").distinct()

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from gossamer.functions.html import is_html, page_text, visible_text
 from gossamer.llm.components import connected_components
+from gossamer.llm.frames import frame
 from gossamer.session import cut_lineage
 
 BANDS, ROWS = 32, 4
@@ -102,7 +103,7 @@ def sketches(texts: DataFrame, read, schema_in: list[str], width: int, min_words
                 cls.append(set_id(s))
                 sig.append(minima.astype(np.uint8).tobytes())
                 keys.append(band_keys(minima))
-            yield pd.DataFrame({"key": key, "cls": pd.Series(cls, dtype="int64"), "sig": sig, "keys": keys})
+            yield frame(key=key, cls=cls, sig=sig, keys=keys)
 
     return texts.mapInPandas(run, f"key {texts.schema['key'].dataType.simpleString()}, cls long, sig binary, keys array<long>")
 
@@ -196,7 +197,7 @@ class NearDuplicates:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 sets = [shingle_set(words_of(read(*row)), width).tobytes() for row in zip(*[batch[c] for c in inputs])]
-                yield pd.DataFrame({"component": batch["component"], "cls": batch["cls"], "sig": batch["sig"], "shingles": sets})
+                yield frame(component=batch["component"], cls=batch["cls"], sig=batch["sig"], shingles=sets)
 
         held = self.components.join(self.classes, self.components["vertex"] == self.classes["cls"]).select("component", "cls", "sig", F.col("rep").alias("key"))
         # A body stored twice comes twice; one of the two is enough.

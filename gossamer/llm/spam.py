@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gossamer.functions.html import is_html, page_text, title_of
 from gossamer.llm.boilerplate import Page, label_page
+from gossamer.llm.frames import frame
 from gossamer.llm.residue import residue_kind
 
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
@@ -85,7 +86,7 @@ def body_shapes(bodies: DataFrame) -> DataFrame:
                     continue
                 hashes.append(h)
                 shapes.append([(s, b, k, n) for (s, b), (k, n) in found.items()])
-            yield pd.DataFrame({"content_hash": hashes, "shapes": shapes})
+            yield frame(content_hash=hashes, shapes=shapes)
 
     html = bodies.where(is_html(bodies["content_type"]) & bodies["content_hash"].isNotNull() & bodies["body"].isNotNull())
     return html.select("content_hash", "body", "content_type").mapInPandas(run, SHAPES)
