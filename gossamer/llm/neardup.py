@@ -2,7 +2,8 @@
 
 1. Each text becomes the set of its word shingles, hashed to 64 bits; ``N_HASHES`` universal hashes keep their least value each.
 2. Texts with equal shingle sets collapse to one class, so copies cost one row from here on.
-3. Bands of ``ROWS`` minima are equi-joined; each candidate pair is verified on the signature (one byte a minimum).
+3. Bands of ``ROWS`` minima are equi-joined; each candidate pair is verified on the signature (one byte a minimum). Buckets
+   that a hot group fills are compared block by block instead, which gives links enough for the same components.
 4. Verified links form components by alternating large-star and small-star.
 5. Inside a component, blocks of at most ``BLOCK`` classes meet pairwise in one task; signatures first, then exact shingle sets.
 
@@ -31,6 +32,8 @@ N_HASHES = BANDS * ROWS
 #: Signatures agree on a share of minima with a standard error under 0.045; verification keeps pairs down to SLACK under the threshold.
 SLACK = 0.18
 BLOCK = 64
+#: Buckets of more classes are compared block by block.
+BIG = 256
 _WORD = re.compile(r"\w+")
 _rng = np.random.RandomState(20240229)
 # Universal hashing modulo 2**64 with odd multipliers, of which the upper 32 bits are kept (multiply-shift).
@@ -120,14 +123,58 @@ def _agreement():
     return run
 
 
+def _blocked(rows: DataFrame, group: str, n: str) -> DataFrame:
+    """``rows`` once for each pair of blocks of its ``group`` (of ``n`` rows) that its block belongs to: columns lo, hi and mine."""
+    nb = F.ceil(F.col(n) / BLOCK).cast("int")
+    placed = rows.withColumn("nb", nb).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("lo"), F.greatest(o, F.col("mine")).alias("hi")))
+    kept = [c for c in rows.columns if c != n]
+    return placed.select(*kept, "mine", F.explode(pairs).alias("pair")).select(*kept, "mine", "pair.lo", "pair.hi")
+
+
+def _near_rows(sig: np.ndarray, mine: np.ndarray, i: int, least: float, crossing: bool) -> np.ndarray:
+    """Rows after ``i`` whose signatures agree with its on a share of ``least``, of the other block if ``crossing``."""
+    near = np.flatnonzero((sig[i + 1 :] == sig[i]).mean(axis=1) >= least) + i + 1
+    return near[mine[near] != mine[i]] if crossing else near
+
+
 def class_links(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: class pairs that share a band and agree on their signatures. ``classes``: cls, sig, keys, a row a class."""
+    """(a, b): class pairs that share a band and agree on their signatures. ``classes``: cls, sig, keys, a row a class.
+
+    Buckets of up to ``BIG`` classes give all their agreeing pairs. A larger bucket, however large, is cut into blocks that meet
+    pairwise; each meeting compares all its signatures, but gives only a star for each of its connected parts: the same components
+    come out, and neither a task's memory nor the edges of a meeting grow with the bucket.
+    """
     banded = classes.select("cls", F.explode("keys").alias("band"))
-    left, right = banded.withColumnRenamed("cls", "a"), banded.withColumnRenamed("cls", "b")
-    pairs = left.join(right, "band").where("a < b").select("a", "b").distinct()
+    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut_lineage(banded.join(sizes, "band"))
     sigs = classes.select("cls", "sig")
+    small = shared.where(F.col("n") <= BIG).select("cls", "band")
+    pairs = small.withColumnRenamed("cls", "a").join(small.withColumnRenamed("cls", "b"), "band").where("a < b").select("a", "b").distinct()
     both = pairs.join(sigs.select(F.col("cls").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("cls").alias("b"), F.col("sig").alias("sb")), "b")
-    return both.where(_agreement()("sa", "sb") >= threshold - SLACK).select("a", "b")
+    agreeing = both.where(_agreement()("sa", "sb") >= threshold - SLACK).select("a", "b")
+
+    def stars(group: pd.DataFrame) -> pd.DataFrame:
+        crossing = group["lo"].iloc[0] != group["hi"].iloc[0]
+        sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint8).reshape(-1, N_HASHES)
+        mine, cls = group["mine"].to_numpy(), group["cls"].to_numpy()
+        root = list(range(len(group)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i in range(len(group) - 1):
+            for j in _near_rows(sig, mine, i, threshold - SLACK, crossing).tolist():
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+        out = [(int(cls[find(i)]), int(cls[i])) for i in range(len(group)) if find(i) != i]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    hot = _blocked(shared.where(F.col("n") > BIG).join(sigs, "cls"), "band", "n")
+    return agreeing.unionAll(hot.groupBy("band", "lo", "hi").applyInPandas(stars, "a long, b long"))
 
 
 def verified_pairs(sets: DataFrame, threshold: float) -> DataFrame:
@@ -137,12 +184,7 @@ def verified_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     blocks is one group of at most a few times ``BLOCK`` classes, so no task's memory grows with the component.
     """
     sized = sets.groupBy("component").agg(F.count("*").alias("n"))
-    blocks = sized.select("component", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
-    placed = sets.join(blocks, "component").withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
-    spread = placed.select(
-        "component", "cls", "sig", "shingles", "mine",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("lo"), F.greatest(o, F.col("mine")).alias("hi")))).alias("pair"),
-    ).select("component", "pair.lo", "pair.hi", "cls", "sig", "shingles", "mine")
+    spread = _blocked(sets.join(sized, "component"), "component", "n")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         lo, hi = group["lo"].iloc[0], group["hi"].iloc[0]
@@ -152,11 +194,8 @@ def verified_pairs(sets: DataFrame, threshold: float) -> DataFrame:
         mine, cls = group["mine"].to_numpy(), group["cls"].to_numpy()
         out = []
         for i in range(len(group) - 1):
-            near = np.flatnonzero((sig[i + 1 :] == sig[i]).mean(axis=1) >= threshold - SLACK) + i + 1
-            if lo != hi:
-                near = near[mine[near] != mine[i]]
             x = sets_[i]
-            for j in near:
+            for j in _near_rows(sig, mine, i, threshold - SLACK, lo != hi):
                 y = sets_[j]
                 small, large = (x, y) if len(x) < len(y) else (y, x)
                 if len(small) < threshold * len(large):

@@ -111,8 +111,10 @@ def test_groups_lose_no_link(operator):
     assert {k: r["n_links"] for k, r in rows.items()} == {k: len(links[k]) for k in rows}
 
 
-def test_blocks_meet_once(spark, monkeypatch):
+@pytest.mark.parametrize("big", [256, 3])
+def test_blocks_meet_once(spark, monkeypatch, big):
     monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "BIG", big)
     rng = random.Random(9)
     base = sentences(rng, 10)
     texts = {f"t{i:02}": " ".join(base[:9] + [sentences(rng, 1)[0]]) for i in range(30)}
@@ -121,6 +123,14 @@ def test_blocks_meet_once(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == brute(texts, 3, 0.7, 5)
 
 
+def test_hot_buckets_give_the_same_pairs(spark, monkeypatch):
+    texts = corpus()
+    monkeypatch.setattr(neardup, "BIG", 2)
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    op = neardup.NearDuplicates(spark.createDataFrame(list(texts.items()), "key string, text string"), lambda t: t, ["text"], 3, 0.7, 5)
+    assert {tuple(r) for r in op.key_pairs().collect()} == brute(texts, 3, 0.7, 5)
+
+
 def test_body_pairs_against_brute_force(spark, data):
     bodies = spark.read.parquet(f"{data}/page_body.parquet")
     texts = {r["content_hash"]: visible_text(page_text(r["body"], r["content_type"])) for r in bodies.where("lower(content_type) LIKE '%html%'").collect()}
