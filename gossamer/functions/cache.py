@@ -1,0 +1,36 @@
+"""A small cache with eviction of the least recently used entry and an optional age limit, for use inside one worker."""
+
+from __future__ import annotations
+
+import time
+from collections import OrderedDict
+from collections.abc import Callable, Hashable
+
+
+class LruCache:
+    """At most ``size`` entries; an entry older than ``ttl`` seconds is gone."""
+
+    def __init__(self, size: int, ttl: float | None = None, clock: Callable[[], float] = time.monotonic):
+        if size < 1:
+            raise ValueError("size must be positive")
+        self.size, self.ttl, self._clock = size, ttl, clock
+        self._held: OrderedDict[Hashable, tuple[float, object]] = OrderedDict()
+
+    def get(self, key: Hashable, default: object = None) -> object:
+        entry = self._held.get(key)
+        if entry is None:
+            return default
+        if self.ttl is not None and self._clock() - entry[0] >= self.ttl:
+            del self._held[key]
+            return default
+        self._held.move_to_end(key)
+        return entry[1]
+
+    def put(self, key: Hashable, value: object) -> None:
+        self._held[key] = (self._clock(), value)
+        self._held.move_to_end(key)
+        if len(self._held) > self.size:
+            self._held.popitem(last=False)
+
+    def __len__(self) -> int:
+        return len(self._held)

@@ -468,7 +468,7 @@ def t18(spark, d):
     return doc(spark, d).select("id", scalars.iso_utc(F.col("first_seen")).alias("iso"))
 
 
-@query("t19_next_interval", "SELECT id, CASE WHEN etag IS NULL OR content_length IS NULL THEN 100.0 ELSE least(content_length * 2.0, 1000.0) END AS interval_s FROM document")
+@query("t19_next_interval", "SELECT id, CAST(CASE WHEN etag IS NULL OR content_length IS NULL THEN 100.0 ELSE least(content_length * 2.0, 1000.0) END AS DOUBLE) AS interval_s FROM document")
 def t19(spark, d):
     current = F.col("content_length").cast("double")
     return doc(spark, d).select("id", scalars.next_interval(current, F.col("etag").isNull(), 100.0, 1000.0, 2.0).alias("interval_s"))

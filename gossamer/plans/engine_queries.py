@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gossamer.api import CrawlAnalytics
 from gossamer.functions import hashing, html, robots, text, url
 from gossamer.operators import analytics, bloom, dedup, graph, pipeline, sharding, state, writes
 from gossamer.plans.analytics_queries import AGE, HOST_SQL, HTML_SQL, NOW, STALE_SQL, doc, edge
@@ -530,3 +531,113 @@ def r17(spark, d):
 @query("r17_latency_quantiles")
 def r17_quantiles(spark, d):
     return panels.latency_quantiles(events(spark, d), "ts", "value", (1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 500.0), "1 day")
+
+
+# What remains of the inventory
+
+
+@query("s7_consumed", "SELECT count(*) AS n, count(DISTINCT msg_id) AS n_messages FROM frontier_message")
+def s7(spark, d):
+    """The log read in bounded micro-batches, committed by the checkpoint."""
+    rows = frontier.drain(log_stream(spark, d, 1).select("msg_id"), "s7")
+    return rows.agg(F.count("*").alias("n"), F.countDistinct("msg_id").alias("n_messages"))
+
+
+@query("s8_topics", "SELECT * FROM (VALUES ('frontier', 6), ('parsed', 6), ('retry', 6), ('dlq', 1)) t(topic, partitions)")
+def s8(spark, d):
+    return messages.create_topics(spark, frontier.scratch(spark, "topics"))
+
+
+@query("s13_validators", "SELECT url, max(etag) AS etag, max(last_modified) AS last_modified FROM document WHERE etag IS NOT NULL OR last_modified IS NOT NULL GROUP BY url HAVING count(*) > 0")
+def s13(spark, d):
+    """Through a temporary view, as an in-memory sink keeps it."""
+    doc(spark, d).where("etag IS NOT NULL OR last_modified IS NOT NULL").createOrReplaceTempView("stored_validators")
+    return spark.sql("SELECT url, max(etag) AS etag, max(last_modified) AS last_modified FROM stored_validators GROUP BY url")
+
+
+@query("s16_catalog", "SELECT 'crawl' AS name, count(*) AS n FROM crawl UNION ALL SELECT 'document', count(*) FROM document UNION ALL SELECT 'link_edge', count(*) FROM link_edge UNION ALL SELECT 'page_body', count(*) FROM page_body")
+def s16(spark, d):
+    """The store's tables as views of the session's catalog."""
+    names = ("crawl", "document", "link_edge", "page_body")
+    for name in names:
+        table(spark, d, name).createOrReplaceTempView(f"store_{name}")
+    return spark.sql(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM store_{n}" for n in names))
+
+
+@query("h2_base_href", "SELECT DISTINCT id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/base/page1.html' AS link FROM document")
+def h2(spark, d):
+    """A relative link of a page with a base, for every document's url."""
+    page = F.lit('<html><head><base href="/base/"></head><body><a href="page1.html">One</a></body></html>')
+    rows = doc(spark, d).select("id", "url").distinct()
+    return rows.select("id", F.explode(html.html_links(page, "url")).alias("link")).select("id", F.col("link.url").alias("link"))
+
+
+@query("au4_out_degree", f"SELECT DISTINCT id, out_degree AS n FROM document d SEMI JOIN {_STORED_SQL} p USING (content_hash)")
+def au4(spark, d):
+    """Out-degree at save: the distinct links of the stored body."""
+    rows = doc(spark, d).select("id", "url", "content_hash").distinct().join(pages(spark, d), "content_hash")
+    return rows.select("id", F.size(html.html_links("page", "url")).alias("n"))
+
+
+@query("r5_seen_filter")
+def r5(spark, d):
+    """Messages whose url a fixed filter over the stored urls lacks."""
+    filter_ = bloom.build_bloom(doc(spark, d).select("url").distinct(), "url", 1_000_000, 0.01)
+    return bloom.probably_new(table(spark, d, "frontier_message").select("msg_id", "url"), "url", filter_).select("msg_id")
+
+
+@query("r7_token_bucket_stream")
+def r7(spark, d):
+    path = f"{d}/events.parquet"
+    stream = frontier.file_stream(spark, path, spark.read.parquet(path).schema)
+    rows = stream.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e3).alias("now_ms"), F.lit(1).alias("wanted"))
+    return frontier.drain(gates.keyed_gate(rows, "user_id", "event_id", ["now_ms", "wanted"], state.token_bucket_step(5, RATE / 10), "allowed boolean, wait_ms long", "tokens double, then double"), "r7")
+
+
+@query("r10_batches", "SELECT count(DISTINCT msg_id) AS n FROM frontier_message")
+def r10(spark, d):
+    """Back-pressure: one file a trigger, whatever the log's length."""
+    return frontier.drain(log_stream(spark, d, 1).select("msg_id").dropDuplicates(["msg_id"]), "r10").agg(F.count("*").alias("n"))
+
+
+@query("r11_host_tasks", f"SELECT {HOST_SQL('url')} AS host, 1::BIGINT AS tasks FROM frontier_message WHERE {HOST_SQL('url')} IS NOT NULL GROUP BY 1")
+def r11(spark, d):
+    """All requests of a host in one task, which is what a limit of connections per host needs."""
+    rows = table(spark, d, "frontier_message").select(url.host_of(F.col("url")).alias("host")).where("host IS NOT NULL").repartition("host")
+    return rows.select("host", F.spark_partition_id().alias("task")).groupBy("host").agg(F.countDistinct("task").alias("tasks"))
+
+
+@query("r12_robots_origins", "SELECT DISTINCT regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) AS origin FROM document")
+def r12(spark, d):
+    """The origins whose robots file is fetched, each once."""
+    return doc(spark, d).select(url.origin_of(F.col("url")).alias("origin")).distinct()
+
+
+@query("r13_polite_slots")
+def r13(spark, d):
+    """When each allowed document may be fetched again: robots permission, then a paced slot of its host."""
+    allowed = t23(spark, d).where("allowed").select("url")
+    rows = doc(spark, d).join(allowed, "url", "left_semi").groupBy("id", "registered_domain").agg(F.max(F.unix_micros("last_crawled") / 1e6).alias("seconds"))
+    return state.paced_grants(rows.where("seconds IS NOT NULL"), "registered_domain", "id", F.col("seconds"), 1.0).select("id", "registered_domain", "grant_s")
+
+
+@query("r16_polled_statuses", "SELECT http_status, count(*) AS n FROM document GROUP BY http_status")
+def r16(spark, d):
+    path = f"{d}/document.parquet"
+    return panels.polled_counts(frontier.file_stream(spark, path, spark.read.parquet(path).schema), "http_status", "polled_statuses")
+
+
+@query("api_stats", "SELECT (SELECT count(*) FROM document) AS documents, (SELECT count(*) FROM link_edge) AS edges, (SELECT count(DISTINCT registered_domain) FROM document) AS domains, (SELECT count(*) FROM (SELECT content_hash FROM document WHERE content_hash IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS near_duplicates")
+def api_stats(spark, d):
+    return CrawlAnalytics(spark, d).stats()
+
+
+@query("api_graph", """SELECT DISTINCT d.id, d.url, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) AS in_degree FROM document d LEFT JOIN (SELECT src_document_id, count(*) AS n FROM link_edge GROUP BY 1) o ON o.src_document_id = d.id
+    LEFT JOIN (SELECT dst_url, count(*) AS n FROM link_edge GROUP BY 1) i ON i.dst_url = d.url ORDER BY in_degree DESC, url, id LIMIT 20""")
+def api_graph(spark, d):
+    return CrawlAnalytics(spark, d).graph(20)
+
+
+@query("api_crawls", "SELECT c.id, c.name, c.status, c.max_depth, c.max_pages, (SELECT count(*) FROM document d WHERE d.crawl_id = c.id) AS documents FROM crawl c ORDER BY c.id DESC LIMIT 50")
+def api_crawls(spark, d):
+    return CrawlAnalytics(spark, d).crawls(50)

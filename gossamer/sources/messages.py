@@ -51,3 +51,16 @@ def route_failures(failed: DataFrame, now: float, max_attempts: int = MAX_ATTEMP
     return errors.withColumn("topic", F.when(again, "retry").otherwise("dlq")).withColumn(
         "not_before", F.when(again, F.lit(now) + F.least(F.pow(F.lit(2.0), F.col("attempts")), F.lit(float(RETRY_CAP_SECONDS)))).otherwise(F.col("not_before"))
     ).withColumn("attempts", F.when(again, F.col("attempts") + 1).otherwise(F.col("attempts")))
+
+
+TOPICS = {"frontier": PARTITIONS, "parsed": PARTITIONS, "retry": PARTITIONS, "dlq": 1}
+
+
+def create_topics(spark, folder: str) -> DataFrame:
+    """(topic, partitions): a folder a topic and partition under ``folder``, made where it is missing."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for topic, partitions in TOPICS.items():
+        for i in range(partitions):
+            path = hadoop.Path(f"{folder}/{topic}/partition={i}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    return spark.createDataFrame(list(TOPICS.items()), "topic string, partitions int")

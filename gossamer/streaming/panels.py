@@ -37,3 +37,11 @@ def latency_quantiles(events: DataFrame, time: str, value: str, buckets: Sequenc
     per = events.groupBy(F.window(time, width).alias("w")).agg(F.count(value).alias("n"), *bucket_counts(F.col(value), buckets))
     cols = [F.col(f"le_{i}") for i in range(len(buckets))]
     return per.select(F.col("w.end").alias("window_end"), "n", *[histogram_quantile(cols, F.col("n"), buckets, q).alias(name) for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+
+
+def polled_counts(stream: DataFrame, by: str, name: str) -> DataFrame:
+    """Counts by ``by`` of a stream, kept in a memory table that a display may ask at any time; here it is drained first."""
+    counts = stream.groupBy(by).agg(F.count("*").alias("n"))
+    query = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.table(name)
