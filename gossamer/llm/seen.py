@@ -125,7 +125,7 @@ def keyed_log(messages: DataFrame) -> DataFrame:
 
 def block_firsts(log: DataFrame) -> DataFrame:
     """(key, first, later): per block of ``BLOCK`` consecutive ids and key the first id and the others, each id once."""
-    block = F.floor(F.col("msg_id") / BLOCK)
+    block = F.expr(f"msg_id div {BLOCK}")
     ids = F.array_sort(F.collect_set("msg_id"))
     grouped = log.groupBy(block.alias("block"), "key").agg(ids.alias("ids"))
     return grouped.select("key", F.element_at("ids", 1).alias("first"), F.slice("ids", 2, BLOCK).alias("later"))
