@@ -40,7 +40,7 @@ def normalize_url(url: Column, first_of_equal_names: bool = False) -> Column:
     parameters go; the other parameters are sorted by name, then value; percent escapes are upper case; an empty path is "/".
     ``first_of_equal_names`` keeps only the first of several parameters with one name. Null and empty give null.
     """
-    s = upper_escapes(F.regexp_replace(url, r"^\s+|\s+$", ""))
+    s = upper_escapes(F.regexp_replace(url, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
     scheme = F.lower(F.regexp_extract(s, r"^([A-Za-z]+)://", 1))
     netloc = F.regexp_extract(s, r"^[A-Za-z]+://([^/?#]*)", 1)
     bare = F.regexp_replace(netloc, "^.*@", "")
@@ -133,7 +133,7 @@ def normalize_hrefs(hrefs: pd.Series, bases: pd.Series) -> pd.Series:
 def duckdb_normalized(url: str, first_of_equal_names: bool = False) -> str:
     """The SQL twin of ``normalize_url``: an expression over the column ``url`` for an engine with list lambdas."""
     names = ", ".join(f"'{t}'" for t in TRACKING)
-    s = f"regexp_replace({url}, '^\\s+|\\s+$', '', 'g')"
+    s = f"regexp_replace({url}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
     s = (
         f"array_to_string(list_transform(string_split({s}, '%'), lambda x, i: CASE WHEN i > 1 AND regexp_matches(x, '^[0-9a-fA-F]{{2}}') "
         f"THEN upper(x[1:2]) || x[3:] ELSE x END), '%')"
