@@ -32,6 +32,8 @@ N_HASHES = BANDS * ROWS
 #: Signatures agree on a share of minima with a standard error under 0.045; verification keeps pairs down to SLACK under the threshold.
 SLACK = 0.18
 BLOCK = 64
+#: Shingles hashed at a time.
+PIECE = 4096
 #: Buckets of more classes are compared block by block.
 BIG = 256
 _WORD = re.compile(r"\w+")
@@ -70,9 +72,15 @@ def shingle_set(words: list[str], width: int) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """``N_HASHES`` minima of universal hashes, 32 bits each. The set must not be empty."""
+    """``N_HASHES`` minima of universal hashes, 32 bits each, by pieces of the set, so a long text needs no more memory. The set must
+    not be empty."""
+    least = np.full(N_HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        return ((shingles[:, None] * _MULT + _ADD) >> np.uint64(32)).min(axis=0).astype(np.uint32)
+        for at in range(0, len(shingles), PIECE):
+            hashed = _MULT[:, None] * shingles[at : at + PIECE]
+            hashed += _ADD[:, None]
+            np.minimum(least, hashed.min(axis=1), out=least)
+    return (least >> np.uint64(32)).astype(np.uint32)
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
