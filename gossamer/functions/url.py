@@ -17,6 +17,8 @@ TRACKING = (
 )
 # Hrefs that lead to no page.
 SKIPPED_PREFIXES = ("javascript:", "mailto:", "tel:", "data:", "#")
+# What counts as a blank around a URL, by Unicode.
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # Public suffixes of more than one label that this library knows; other names end in their last label. No list ships with the
 # environment, so reserved and unlisted endings fall back to the host.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "co.jp", "com.br", "co.in", "co.nz", "co.za")
@@ -40,7 +42,7 @@ def normalize_url(url: Column, first_of_equal_names: bool = False) -> Column:
     parameters go; the other parameters are sorted by name, then value; percent escapes are upper case; an empty path is "/".
     ``first_of_equal_names`` keeps only the first of several parameters with one name. Null and empty give null.
     """
-    s = upper_escapes(F.regexp_replace(url, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    s = upper_escapes(F.btrim(url, F.lit(BLANKS)))
     scheme = F.lower(F.regexp_extract(s, r"^([A-Za-z]+)://", 1))
     netloc = F.regexp_extract(s, r"^[A-Za-z]+://([^/?#]*)", 1)
     bare = F.regexp_replace(netloc, "^.*@", "")
@@ -133,7 +135,7 @@ def normalize_hrefs(hrefs: pd.Series, bases: pd.Series) -> pd.Series:
 def duckdb_normalized(url: str, first_of_equal_names: bool = False) -> str:
     """The SQL twin of ``normalize_url``: an expression over the column ``url`` for an engine with list lambdas."""
     names = ", ".join(f"'{t}'" for t in TRACKING)
-    s = f"regexp_replace({url}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+    s = f"trim({url}, '{BLANKS}')"
     s = (
         f"array_to_string(list_transform(string_split({s}, '%'), lambda x, i: CASE WHEN i > 1 AND regexp_matches(x, '^[0-9a-fA-F]{{2}}') "
         f"THEN upper(x[1:2]) || x[3:] ELSE x END), '%')"
