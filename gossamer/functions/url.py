@@ -35,6 +35,11 @@ def upper_escapes(text: Column) -> Column:
     return F.when(text.contains("%"), F.concat_ws("%", fixed)).otherwise(text)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it: Catalyst would inline it each time."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def normalize_url(url: Column, first_of_equal_names: bool = False) -> Column:
     """The form under which spellings of one URL are equal, as a native column; null if the URL can't be crawled.
 
@@ -42,30 +47,33 @@ def normalize_url(url: Column, first_of_equal_names: bool = False) -> Column:
     parameters go; the other parameters are sorted by name, then value; percent escapes are upper case; an empty path is "/".
     ``first_of_equal_names`` keeps only the first of several parameters with one name. Null and empty give null.
     """
-    s = upper_escapes(F.btrim(url, F.lit(BLANKS)))
-    scheme = F.lower(F.regexp_extract(s, r"^([A-Za-z]+)://", 1))
-    netloc = F.regexp_extract(s, r"^[A-Za-z]+://([^/?#]*)", 1)
-    bare = F.regexp_replace(netloc, "^.*@", "")
-    host = F.when(netloc.contains("@"), F.concat(F.regexp_extract(netloc, "^(.*@)", 1), F.lower(bare))).otherwise(F.lower(netloc))
-    path = F.regexp_extract(s, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
-    query = F.regexp_extract(s, r"^[^?#]*\?([^#]*)", 1)
-    named = F.transform(F.split(query, "&"), lambda p: F.struct(F.substring_index(p, "=", 1).alias("name"), F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))).alias("pair")))
-    kept = F.filter(named, lambda p: (p["pair"] != "=") & ~p["name"].isin(*TRACKING))
-    if first_of_equal_names:
-        names = F.transform(kept, lambda p: p["name"])
-        kept = F.filter(kept, lambda p, i: F.array_position(names, p["name"]) == i + 1)
-    sorted_query = F.when(
-        query != "",
-        F.concat_ws("&", F.transform(F.array_sort(kept), lambda p: p["pair"])),
-    ).otherwise("")
-    return F.when(
-        scheme.isin("http", "https") & bare.rlike(r"^(?:[^:]|\[)"),
-        F.concat(
-            scheme, F.lit("://"), host,
-            F.when(path == "", "/").otherwise(path),
-            F.when(sorted_query != "", F.concat(F.lit("?"), sorted_query)).otherwise(""),
-        ),
-    )
+
+    def rebuilt(s: Column) -> Column:
+        # Cut by separators rather than by patterns: each part is a native substring.
+        before = F.substring_index(s, "://", 1)
+        rest = F.substring_index(F.substring(s, F.length(before) + 4, F.length(s)), "#", 1)
+        return _let(F.struct(F.lower(before).alias("scheme"), rest.alias("rest"), F.substring_index(rest, "?", 1).alias("address")), addressed)
+
+    def addressed(x: Column) -> Column:
+        netloc = F.substring_index(x["address"], "/", 1)
+        bare = F.substring_index(netloc, "@", -1)
+        host = F.concat(F.substring(netloc, F.lit(1), F.length(netloc) - F.length(bare)), F.lower(bare))
+        path = F.substring(x["address"], F.length(netloc) + 1, F.length(x["address"]))
+        query = F.substring(x["rest"], F.length(x["address"]) + 2, F.length(x["rest"]))
+        return F.when(
+            x["scheme"].isin("http", "https") & (bare != "") & ~bare.startswith(":"),
+            F.concat(x["scheme"], F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(x["rest"].contains("?"), cleaned(query)).otherwise("")),
+        )
+
+    def cleaned(query: Column) -> Column:
+        named = F.transform(F.split(query, "&"), lambda p: F.struct(F.substring_index(p, "=", 1).alias("name"), F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))).alias("pair")))
+        kept = F.filter(named, lambda p: (p["pair"] != "=") & ~p["name"].isin(*TRACKING))
+        if first_of_equal_names:
+            kept = _let(kept, lambda ps: F.filter(ps, lambda p, i: F.array_position(F.transform(ps, lambda q: q["name"]), p["name"]) == i + 1))
+        joined = F.concat_ws("&", F.transform(F.sort_array(kept), lambda p: p["pair"]))
+        return _let(joined, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+
+    return _let(upper_escapes(F.btrim(url, F.lit(BLANKS))), rebuilt)
 
 
 def host_of(url: Column) -> Column:
