@@ -38,11 +38,14 @@ PLACEHOLDER = re.compile(
 )
 #: Spots that a template filled with nothing or with a missing value.
 EMPTY_FILL = re.compile(
-    r"(?:(?<!\w)(?:dear|hello|hi|hallo|bonjour|hola|welcome to|posted (?:in|by|on)|written by|hosted by|last changed on|call us at|distance from|price:) ?(?:[,.!](?=\s|$)|by(?=\s*(?:[.,]|$))|(?:undefined|null|nan|none)(?!\w)))"
-    r"|\w ,(?=\s)|(?<!\w)\(\s*\)|(?<!\w)(?:undefined|NaN|\[object Object\])(?=[,.!\s]|$)(?! (?:is|means|was|value|variable|behaviou?r))",
-    re.I,
+    r"\w ,(?=\s)"  # Dear , thank you
+    r"|(?i:(?<!\w)(?:posted in by|(?:posted|written|published|updated|changed) (?:on|by) (?:by(?!\w)|\.|,)|distance from to|price: (?:incl|excl|net)(?!\w)|call us at or|write to \.|offer from ends|ends in days|holds items|partner for \.))"
+    r"|(?<!\w)(?:undefined|NaN|\[object Object\])(?=[,.!\s]|$)(?! (?:is|means|was|value|variable|behaviou?r))"
+)
+DEFAULT_TITLE = re.compile(
+    r"^\s*(?:null|undefined|None|NaN|(?i:untitled(?: (?:document|page|post))?|(?:new|sample|test|blank) page|(?:page|document) title|title|insert title(?: here)?)"
+    r"|(?:null|undefined|None|NaN)\s*[|\-–:].*|.*[|\-–:]\s*(?:null|undefined))\s*$"
 )
-DEFAULT_TITLE = re.compile(r"^\s*(?:null|undefined|none|nan|untitled(?: (?:document|page|post))?|(?:new|sample|test|blank) page|page title|document title|title|insert title(?: here)?|(?:null|undefined|none)\s*[|\-–:].*|.*[|\-–:]\s*(?:null|undefined))\s*$", re.I)
 # Default texts of page builders and templates, as whole sentences.
 DEFAULT_TEXT = re.compile(
     r"(?:your (?:heading|text|title|headline|content|name) (?:goes )?here|(?:add|enter|insert|type|write) your (?:text|content|title)(?: (?:in this box|here))?|double click to edit|click (?:here )?to (?:edit|add text)|image caption(?: placeholder)?|(?:caption|text|title) placeholder|placeholder(?: text)?|"
@@ -160,7 +163,6 @@ def residue_documents(document: DataFrame, bodies: DataFrame) -> DataFrame:
     docs = document.select("id", "content_hash", "title").where(F.col("id").isNotNull() & F.col("content_hash").isNotNull())
     flagged = residue_bodies(bodies).select("content_hash")
     by_body = docs.join(flagged, "content_hash", "left_semi").select("id")
-    default = "(?i)" + DEFAULT_TITLE.pattern
-    titled = docs.where(F.col("title").rlike(PLACEHOLDER.pattern) | F.col("title").rlike(default))
+    titled = docs.where(F.col("title").rlike(PLACEHOLDER.pattern) | F.col("title").rlike(DEFAULT_TITLE.pattern))
     by_title = titled.join(bodies.select("content_hash"), "content_hash", "left_semi").select("id")
     return by_body.unionAll(by_title).distinct().select(F.col("id").alias("document_id"))
