@@ -100,4 +100,5 @@ def bloom_indices(bits: int, hashes: int):
         out[held] = pd.Series(list(places), index=texts.index[held], dtype=object)
         return out
 
-    return run
+    # Exploding a deterministic function makes Catalyst infer a filter on its size, that is, run it twice.
+    return run.asNondeterministic()

@@ -151,6 +151,10 @@ def html_links(pages: pd.Series, urls: pd.Series) -> pd.Series:
     return pd.Series([[] if p is None or u is None else links_of(p, u) for p, u in zip(pages, urls)])
 
 
+# Exploding a deterministic function makes Catalyst infer a filter on its size, that is, run it twice.
+html_links = html_links.asNondeterministic()
+
+
 @F.pandas_udf(T.StringType())
 def decoded_body(bodies: pd.Series, content_types: pd.Series) -> pd.Series:
     """Text of a stored body; "" for null or unreadable bodies."""
