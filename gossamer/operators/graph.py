@@ -16,7 +16,8 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int, max_pages: int | Non
     ``edges``: src, dst. A level is one job: join, distinct, anti-join with what was seen, checkpoint; the loop stops at an empty
     level or, with ``max_pages``, once that many are known, of which those first by (depth, url) stay. Null urls and ends don't count.
     """
-    links = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
+    # Stored once: every level reads it.
+    links = cut_lineage(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
     level = cut_lineage(seeds.where("url IS NOT NULL").select("url").distinct())
     levels, known = [level.withColumn("depth", F.lit(0))], level.count()
     for depth in range(1, max_depth + 1):
