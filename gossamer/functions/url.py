@@ -35,6 +35,14 @@ def upper_escapes(text: Column) -> Column:
     return F.when(text.contains("%"), F.concat_ws("%", fixed)).otherwise(text)
 
 
+def crawlable(url: Column) -> Column:
+    """Whether ``normalize_url`` gives a form: http or https with a host. Null gives null, which a filter drops.
+
+    One match on the raw text. A filter on the normalized column itself would be pushed below its projection and normalize twice.
+    """
+    return url.rlike(r"(?i)^[\s\p{Z}\x1c-\x1f\x85]*https?://(?:[^/?#]*@)?[^/?#:@\s\p{Z}][^/?#@]*(?:[/?#]|$)")
+
+
 def _let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body names it: Catalyst would inline it each time."""
     return F.get(F.transform(F.array(value), body), 0)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.functions.url import host_of, normalize_url
+from gossamer.functions.url import crawlable, host_of, normalize_url
 
 KINDS = ("count", "sum", "min", "max")
 
@@ -53,8 +53,8 @@ def crawlable_messages(messages: DataFrame) -> DataFrame:
 
     A message delivered twice has equal rows, so a distinct over both columns keeps one.
     """
-    normal = messages.select("msg_id", normalize_url(F.col("url")).alias("url"))
-    return normal.where(F.col("msg_id").isNotNull() & F.col("url").isNotNull()).distinct()
+    rows = messages.where(F.col("msg_id").isNotNull() & crawlable(F.col("url")))
+    return rows.select("msg_id", normalize_url(F.col("url")).alias("url")).distinct()
 
 
 def host_counts(messages: DataFrame, salts: int = 64) -> DataFrame:

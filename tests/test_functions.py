@@ -52,6 +52,9 @@ def test_native_normalization(spark):
     }
     df = spark.createDataFrame(list(cases.items()), "u string, want string")
     assert df.where(~url.normalize_url(F.col("u")).eqNullSafe(F.col("want"))).collect() == []
+    odd = ["http://user@", "http://user@/x", "http://a@b@c.example", "http://a@:80", "HTTPS://x", "  http://x  ", "http://?q", "http://#f", "https:/x", "xhttp://a", "http://x?y=a@b", "http://[::1]/", "http://x/@y"]
+    more = df.select("u").unionAll(spark.createDataFrame([(o,) for o in odd], "u string"))
+    assert more.where(url.crawlable(F.col("u")) != url.normalize_url(F.col("u")).isNotNull()).collect() == []
     nulls = spark.createDataFrame([(None,)], "u string").select(url.normalize_url(F.col("u")).alias("n"), url.host_of(F.col("u")).alias("h"), url.registered_domain(F.col("u")).alias("d")).first()
     assert tuple(nulls) == (None, None, "")
 
