@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.functions.url import normalize_url
+from gossamer.functions.url import crawlable, normalize_url
 
 FIRST_CAPACITY = 1 << 14
 GROWTH = 4
@@ -119,8 +119,8 @@ class BloomChain:
 
 def keyed_log(messages: DataFrame) -> DataFrame:
     """(msg_id, key): 64-bit key of the normalized url; messages without an id or a crawlable url don't count."""
-    url = normalize_url(F.col("url"))
-    return messages.select("msg_id", url.alias("url")).where("msg_id IS NOT NULL AND url IS NOT NULL").select("msg_id", F.xxhash64("url").alias("key"))
+    rows = messages.where(F.col("msg_id").isNotNull() & crawlable(F.col("url")))
+    return rows.select("msg_id", F.xxhash64(normalize_url(F.col("url"))).alias("key"))
 
 
 def block_firsts(log: DataFrame) -> DataFrame:
