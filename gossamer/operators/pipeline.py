@@ -54,3 +54,15 @@ def children(links: DataFrame, parents: DataFrame, max_depth: int, max_url_lengt
     open_ = parents.where("expand").where(F.col("depth") < max_depth).select(F.col("url").alias("_parent"), "depth")
     found = links.where(F.length("dst_url") <= max_url_length).join(open_, F.col("url") == F.col("_parent"))
     return found.groupBy(F.col("dst_url").alias("url")).agg((F.min("depth") + 1).alias("depth"))
+
+
+def crawl_children(links: DataFrame, parents: DataFrame, rules: DataFrame, max_url_length: int = 2048) -> DataFrame:
+    """(crawl_id, url, depth): ``children`` under the limits of each parent's crawl; a url goes out once, for the least (depth, crawl_id).
+
+    ``parents``: crawl_id, url, depth, expand, max_depth; ``rules``: crawl_id, domain.
+    """
+    open_ = parents.where("expand AND depth < max_depth").select("crawl_id", F.col("url").alias("_parent"), "depth")
+    found = links.where(F.length("dst_url") <= max_url_length).join(open_, F.col("url") == F.col("_parent"))
+    kept = found.select("crawl_id", "dst_url", "depth", registered_domain(F.col("dst_url")).alias("domain")).join(rules, ["crawl_id", "domain"], "left_semi")
+    first = kept.groupBy(F.col("dst_url").alias("url")).agg(F.min(F.struct("depth", "crawl_id")).alias("_first"))
+    return first.select("_first.crawl_id", "url", (F.col("_first.depth") + 1).alias("depth"))

@@ -131,6 +131,45 @@ def a18(spark, d):
     return _crawl(spark, d).agg(F.count("*").alias("discovered"), F.count_if(F.col("depth") < 4).alias("processed"))
 
 
+# The traversal under each crawl's own limits
+
+
+def _crawls(spark, d):
+    """Crawls with their limits, and their seeds: those of the crawl row and the crawl's documents of depth 0."""
+    rows = table(spark, d, "crawl").select(F.col("id").alias("crawl_id"), "max_depth", "max_pages", "allowed_domains", "seeds")
+    named = rows.select("crawl_id", F.explode("seeds").alias("url")).select("crawl_id", url.normalize_url(F.col("url")).alias("url"))
+    roots = doc(spark, d).where("depth = 0").join(rows.select("crawl_id"), "crawl_id", "left_semi").select("crawl_id", "url")
+    return rows.drop("seeds"), named.unionAll(roots).where("url IS NOT NULL").distinct()
+
+
+def _fetched_pages(spark, d):
+    """(url, fetched, expand): any response counts as fetched, all but a 304 may expand; near-duplicates have no stored links."""
+    status = F.coalesce("http_status", F.lit(0))
+    return doc(spark, d).groupBy("url").agg(F.max(status > 0).alias("fetched"), F.max((status > 0) & (status != 304)).alias("expand"))
+
+
+@query("g1_crawl_bfs")
+def g1_crawls(spark, d):
+    crawls, seeds = _crawls(spark, d)
+    return graph.crawl_bfs(crawls, seeds, _fetched_pages(spark, d), graph.page_links(doc(spark, d), edge(spark, d)))
+
+
+@query("g2_crawl_frontier")
+def g2_crawls(spark, d):
+    """One distributed step under each crawl's limits: unseen children of the pages that were fetched."""
+    crawls, seeds = _crawls(spark, d)
+    links = graph.page_links(doc(spark, d), edge(spark, d)).select(F.col("src").alias("url"), F.col("dst").alias("dst_url"))
+    status = F.coalesce("http_status", F.lit(0))
+    rows = doc(spark, d).groupBy("crawl_id", "url").agg(F.min("depth").alias("depth"), F.max((status > 0) & (status != 304)).alias("expand"))
+    parents = rows.join(crawls.select("crawl_id", "max_depth"), "crawl_id")
+    return pipeline.crawl_children(links, parents, graph.domain_rules(crawls, seeds)).join(doc(spark, d).select("url"), "url", "left_anti").select("crawl_id", "url", "depth")
+
+
+@query("a18_crawl_totals")
+def a18_crawls(spark, d):
+    return g1_crawls(spark, d).groupBy("crawl_id").agg(F.count("*").alias("discovered"), F.count_if("processed").alias("processed"))
+
+
 # HTML and fingerprints of stored bodies
 
 
