@@ -71,6 +71,11 @@ def shingle_set(words: list[str], width: int) -> np.ndarray:
     return np.unique(out)
 
 
+def text_shingles(words: list[str], width: int) -> np.ndarray:
+    """The shingle set of a text; a text of fewer words than ``width`` has one shingle of all its words."""
+    return shingle_set(words, min(width, len(words)))
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """``N_HASHES`` minima of universal hashes, 32 bits each, by pieces of the set, so a long text needs no more memory. The set must
     not be empty."""
@@ -106,9 +111,9 @@ def sketches(texts: DataFrame, read, schema_in: list[str], width: int, min_words
             key, cls, sig, keys = [], [], [], []
             for row in zip(*[batch[c] for c in ["key", *schema_in]]):
                 words = words_of(read(*row[1:]))
-                if len(words) < max(min_words, width):
+                if len(words) < max(min_words, 1):
                     continue
-                s = shingle_set(words, width)
+                s = text_shingles(words, width)
                 minima = signature(s)
                 key.append(row[0])
                 cls.append(set_id(s))
@@ -223,7 +228,7 @@ class NearDuplicates:
     """The operator over texts read by ``read`` from the columns ``inputs`` of ``texts`` (with a unique name ``key`` a text).
 
     Rows with a null key don't count; a key given twice counts once; texts under ``min_words`` words, null and empty texts
-    belong to no group; an empty table gives empty results; texts are read whole. Other columns play no part.
+    belong to no group; a text of fewer words than ``width`` is one shingle of them all; an empty table gives empty results; texts are read whole. Other columns play no part.
     """
 
     def __init__(self, texts: DataFrame, read, inputs: list[str], width: int = 5, threshold: float = 0.8, min_words: int = 1):
@@ -243,7 +248,7 @@ class NearDuplicates:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                sets = [shingle_set(words_of(read(*row)), width).tobytes() for row in zip(*[batch[c] for c in inputs])]
+                sets = [text_shingles(words_of(read(*row)), width).tobytes() for row in zip(*[batch[c] for c in inputs])]
                 yield frame(component=batch["component"], cls=batch["cls"], sig=batch["sig"], shingles=sets)
 
         held = self.components.join(self.classes, self.components["vertex"] == self.classes["cls"]).select("component", "cls", "sig", F.col("rep").alias("key"))
@@ -290,3 +295,25 @@ def duplicate_bodies(bodies: DataFrame) -> DataFrame:
     """(content_hash_a, content_hash_b), a < b: different HTML bodies of at least 60 words of visible text whose sets of three
     consecutive words reach a Jaccard similarity of 0.7. Bodies stored twice count once; null hashes and bodies never."""
     return body_duplicates(bodies).key_pairs().select(F.col("key_a").alias("content_hash_a"), F.col("key_b").alias("content_hash_b"))
+
+
+def stored_text(body: bytes | None, content_type: str | None) -> str:
+    """Visible text of an HTML body, any other text as it is; images, PDF files and unreadable bodies have none."""
+    kind = (content_type or "").strip().lower()
+    html = "text/html" in kind or "application/xhtml+xml" in kind
+    if not html and kind and not kind.startswith("text/"):
+        return ""
+    page = page_text(body, content_type)
+    return visible_text(page) if html else page
+
+
+def body_groups(bodies: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(key, cls, group_id, n_copies, n_links) of every stored body by content_hash, as ``NearDuplicates.groups``.
+
+    A body without words has no text to compare: it is a class of its own, named by its key.
+    """
+    rows = bodies.where("content_hash IS NOT NULL").select(F.col("content_hash").alias("key"), "body", "content_type")
+    found = NearDuplicates(rows, stored_text, ["body", "content_type"], width, threshold, 1).groups()
+    own = F.xxhash64(F.lit("no words"), "key")
+    rest = rows.select("key").distinct().join(found.select("key"), "key", "left_anti")
+    return found.unionByName(rest.select("key", own.alias("cls"), own.alias("group_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links")))

@@ -19,8 +19,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    groups = neardup.body_duplicates(table(spark, d, "page_body"), width=5, threshold=0.8).groups()
-    return groups.withColumnRenamed("key", "content_hash")
+    return neardup.body_groups(table(spark, d, "page_body")).withColumnRenamed("key", "content_hash")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
