@@ -530,6 +530,14 @@ def r6(spark, d):
     return frontier.drain(frontier.unseen_within(rows, "simhash", "last_crawled", "365 days"), "r6").select("simhash")
 
 
+@query("r6_near_duplicates")
+def r6_near(spark, d):
+    """Which documents a banded index with a life of 7 days calls near-duplicates, in order of their crawl."""
+    path = f"{d}/document.parquet"
+    rows = frontier.file_stream(spark, path, spark.read.parquet(path).schema).select("id", "simhash", (F.unix_micros("last_crawled") / 1e6).alias("seconds"))
+    return frontier.drain(gates.near_duplicate_gate(rows, "id", "simhash", "seconds"), "r6n")
+
+
 @query("r8_breaker_stream")
 def r8_stream(spark, d):
     path = f"{d}/events.parquet"
