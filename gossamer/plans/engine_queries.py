@@ -492,6 +492,33 @@ def pl_outcomes(spark, d):
     return pipeline.outcomes(flags).select("id", "skipped", "fetched", "stored")
 
 
+def _crawled(spark, d):
+    """Documents as requests in order of their crawl through the real gates, parser and near-duplicate test."""
+    at = F.unix_micros(F.coalesce("last_crawled", "first_seen"))
+    files = doc(spark, d).where(F.col("url").endswith("/robots.txt") & F.col("content_hash").isNotNull()).select("content_hash", url.origin_of(F.col("url")).alias("origin"))
+    bodies = table(spark, d, "page_body").where("content_hash IS NOT NULL").dropDuplicates(["content_hash"]).select("content_hash", html.decoded_body("body", "content_type").alias("html"))
+    rules = robots.robots_rules(files.join(bodies, "content_hash").select("origin", F.col("html").alias("text")))
+    rows = doc(spark, d).select("id", "url", F.col("http_status").alias("status"), "content_type", "content_hash", "etag", "last_modified", "depth", "crawl_id", (at * 4096 + F.col("id") % 4096).alias("seq"), (at / 1e6).alias("seconds"))
+    requests = rows.where("seq IS NOT NULL").dropDuplicates(["seq"]).join(bodies, "content_hash", "left").withColumn("error", F.lit(None).cast("string"))
+    return pipeline.crawl_pages(requests, rules, LIMIT, THRESHOLD, 86400.0)
+
+
+@query("pl_pages")
+def pl_pages(spark, d):
+    return _crawled(spark, d).select("seq", "id", "skipped", "fetched", "stored", "expand", "breaker_failure", "near_duplicate", "keep_body", F.coalesce(F.size("links"), F.lit(0)).alias("n_links"))
+
+
+@query("pl_documents")
+def pl_documents(spark, d):
+    """The documents that the pipeline leaves in an empty store."""
+    return pipeline.store(_crawled(spark, d), doc(spark, d).where("false"), edge(spark, d).where("false"))[0].select("id", "url", "title", "simhash", "storage_key", "out_degree")
+
+
+@query("pl_edges")
+def pl_edges(spark, d):
+    return pipeline.store(_crawled(spark, d), doc(spark, d).where("false"), edge(spark, d).where("false"))[1]
+
+
 # Streams
 
 
