@@ -1,295 +1,114 @@
 """Main content of a page by minimum-cut labelling of its text nodes.
 
-Each text node gets a cost for either label from a small log-linear classifier (terminal capacities). Edges between neighbours in
-document order and between nodes of one branch of the DOM (through one auxiliary vertex a branch) carry the smoothness. The
-minimum cut separates content from boilerplate. A page is a graph of its own, so the operator is one narrow Arrow pass.
+The classifier of ``content_model`` gives each text node a cost for either label (terminal capacities). Edges carry the smoothness,
+by DOM proximity: between pieces of one block, neighbours in one branch, a heading and what it stands over, neighbours apart; and the
+nodes of a branch share an auxiliary vertex. The minimum cut separates content from boilerplate. A page is a graph of its own, so
+labelling is one narrow Arrow pass.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from gossamer.functions.html import TAG, TOKEN, body_part, is_html, page_text, title_of
+from gossamer.functions.html import is_html, page_text
+from gossamer.llm.content_model import SAMPLE_PAGES, ContentModel, Layout, fit
 from gossamer.llm.frames import frame
 from gossamer.llm.maxflow import min_cut
+from gossamer.llm.page import HEADS, Page
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code em font i kbd label mark q s samp small span strong sub sup time tt u var".split())
-BOXES = frozenset("article aside body div footer form header main nav section td".split())
-CHROME_TAGS = frozenset("aside button dialog footer form nav select option menu".split())
-SELF_CLOSING = frozenset(("p", "li", "td", "tr", "option", "dd", "dt"))
-CODE_TAGS = frozenset(("pre", "code", "kbd", "samp", "tt", "textarea"))
-HEADS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Capacities of the smoothness edges, on the scale of the costs (log-odds of at most ``content_model.MOST_COST``).
+SAME_BLOCK, HEADING, BRANCH, SAME_BRANCH, SAME_BOX, APART = 2.0, 1.0, 1.0, 0.6, 0.2, 0.15
 
-_B, _E = r"(?<!\w)(?:", r")(?!\w)"
-#: Phrases of notices, prompts and footers in the languages of the corpus.
-CHROME_TEXT = re.compile(
-    _B
-    + r"cookies?|témoins de connexion|your privacy|privacy matters|stores? small files|tracking helps|keep statistics|before you read on|consent|datenschutz|confidentialité|privacidad|privacidade|prywatno\w+|integritet\w*|"
-    r"subscribe|newsletters?|one letter a month|next issue|also comes by mail|readers of the|abonnieren|abonnez|suscr[ií]b\w+|iscriviti|inschrijven|zapisz się|prenumerera|"
-    r"all rights reserved|copyright|terms|imprint|registered office|made by hand in a small office|reuse only with permission|alle rechte|tous droits|todos los derechos|tutti i diritti|todos os direitos|alla rättigheter|wszelkie prawa"
-    + _E
-    + "|©",
-    re.I,
-)
-#: A notice that speaks of scripts is a page's message, not its cookie notice.
-SCRIPTS = re.compile(r"javascript|scripts? ", re.I)
-#: Headings over links to other pages and over what readers wrote.
-CHROME_HEAD = re.compile(
-    r"^(?:popular(?: \w+){0,3}|most (?:read|popular).*|related(?: \w+){0,2}|see also|you (?:may|might) also (?:like|enjoy)|more (?:from|in|on|to read).*|read (?:next|more|also)|from the archive|visitors also \w+|recommended.*|trending.*|latest.*|"
-    r"what (?:our )?readers (?:say|think)|comments?(?: \(?\d+\)?)?|\d+ comments?|discussion|leave a (?:reply|comment)|join the discussion|reader letters|replies|responses|share(?: this.*)?|follow us|"
-    r"ähnliche.*|verwandte.*|auch interessant|kommentare|das könnte.*|articles liés|à lire aussi|commentaires|también te puede.*|artículos relacionados|comentarios|articoli correlati|leggi anche|commenti|gerelateerd|lees ook|reacties|powiązane|zobacz też|komentarze|relacionados|leia também|comentários|relaterat|läs också|kommentarer)\W*$",
-    re.I,
-)
-BYLINE = re.compile(r"^(?:by|von|par|por|di|door|autor|av)\s+\w|\b\d+\s*min(?:ute)?s?\s+read\b|^\d{1,2}\.?\s+\w+(?:\s+\d{4})?$|^(?:posted|published|updated|last changed)\b", re.I)
-SHARE = re.compile(r"^(?:share(?: this(?: page| post| article)?)?|print|mail|e-?mail|post|pin|tweet|copy link|recommend|save(?: for later)?|like|bookmark|follow|send|download pdf|teilen|drucken|partager|imprimer|compartir|condividi|stampa|delen|udostępnij|partilhar|dela)$", re.I)
-ADVERT = re.compile(r"^(?:advertisement|advert|anzeige|publicité|publicidad|pubblicità|advertentie|reklama|publicidade|annons|sponsored\b.*|partner offer\b.*|promoted\b.*|ad)$|\b(?:sale|offer) ends\b", re.I)
-#: A line of a footer: short, with a year, and closed by a full stop or made of parts.
-FOOT = re.compile(r"(?<!\d)(?:19|20)\d\d(?!\d)")
-FOOT_PARTS = re.compile(r"[.©·|]|copyright", re.I)
-SENTENCE_END = (".", "!", "?", "…", ".”", '."', "。")
 
-
-class Page:
-    """Text nodes of a body in document order, with what the operators need of the DOM."""
-
-    __slots__ = ("text", "elem", "tag", "parent", "label")
-
-    def __init__(self, page: str):
-        text: list[str] = []
-        elem: list[int] = []
-        tag, parent, at = ["body"], [-1], 0
-        match = TAG.match
-        odd = False
-        for token in TOKEN.split(body_part(page)):
-            if not odd:
-                odd = True
-                if token and not token.isspace():
-                    if "&" in token:
-                        token = unescape(token)
-                    token = token.strip()
-                    if token:
-                        text.append(token)
-                        elem.append(at)
-                continue
-            odd = False
-            m = match(token)
-            if m is None:
-                continue
-            name = m[2].lower()
-            if m[1]:
-                e = at
-                while e > 0 and tag[e] != name:
-                    e = parent[e]
-                if e > 0:
-                    at = parent[e]
-            elif name not in VOID and name not in ("script", "style", "noscript", "template") and token[-2] != "/":
-                if name in SELF_CLOSING and tag[at] == name:
-                    at = parent[at]
-                tag.append(name)
-                parent.append(at)
-                at = len(tag) - 1
-        self.text, self.elem, self.tag, self.parent = text, elem, tag, parent
-        self.label: list[bool] = []
-
-
-def label_page(html: str) -> Page:
-    """The page with a label for each text node: True where it belongs to the page's own content."""
-    page = Page(html)
-    text, elem, tag, parent = page.text, page.elem, page.tag, page.parent
-    n = len(text)
-    if not n:
-        return page
-    m = len(tag)
-    # Of each element: whether it lies in chrome by its tag, in a link; its block (nearest element that isn't inline); its box.
-    chrome, link, block, box = [False] * m, [False] * m, [0] * m, [0] * m
-    for e in range(1, m):
-        p, t = parent[e], tag[e]
-        chrome[e] = chrome[p] or t in CHROME_TAGS
-        link[e] = link[p] or t == "a"
-        block[e] = block[p] if t in INLINE else e
-        box[e] = e if t in BOXES else box[p]
-    words = [t.count(" ") + 1 for t in text]
-    sentence = [words[i] >= 4 and text[i].endswith(SENTENCE_END) for i in range(n)]
-    notice = [words[i] < 40 and CHROME_TEXT.search(t) is not None and not SCRIPTS.search(t) for i, t in enumerate(text)]
-    buttons = {parent[e] for e in range(m) if tag[e] in ("button", "form", "select")}
-    # The main box: where most running text hangs directly, or the headline.
-    score: dict[int, float] = {}
-    lent: dict[int, float] = {}
-    for i in range(n):
-        e = elem[i]
-        if chrome[e]:
-            continue
-        b = block[e]
-        home = box[b]
-        if tag[b] == "h1":
-            score[home] = score.get(home, 0.0) + 150
-            continue
-        # Running text counts most; link lists, tables and notices decide only where there is none.
-        gain = 0.05 * words[i] if notice[i] else 0.25 * words[i] if link[e] or not sentence[i] else float(words[i])
-        if home in buttons:
-            continue
-        if tag[b] == "td" and not sentence[i] and words[i] <= 8:
-            home = box[parent[home]]
-        score[home] = score.get(home, 0.0) + (gain if home else 0.5 * gain)
-        if home == b and tag[b] == "div":
-            # A div with text of its own may be a mere paragraph of the box around it.
-            outer = box[parent[b]]
-            part = gain * (0.9 if outer else 0.5)
-            score[outer] = score.get(outer, 0.0) + part
-            lent[home] = lent.get(home, 0.0) + part
-    for i in range(n // 3, n):  # a box that closes the page with a dated line is a footer
-        b = block[elem[i]]
-        if words[i] <= 14 and score.get(box[b]) and box[b] and not link[elem[i]] and tag[b] not in HEADS and FOOT.search(text[i]) and FOOT_PARTS.search(text[i]):
-            home = box[b]
-            if sum(words[k] for k in range(n) if box[block[elem[k]]] == home) <= 60 and not any(box[block[elem[k]]] == home and tag[block[elem[k]]] == "h1" for k in range(n)):
-                score[home] = 0.0
-                if home in lent:
-                    score[box[parent[home]]] -= lent.pop(home)
-    for i in range(n):  # a box that opens with a chrome heading is no main box
-        b = block[elem[i]]
-        if tag[b] in HEADS and tag[b] != "h1" and CHROME_HEAD.match(text[i]):
-            home = box[b]
-            first = next(k for k in range(n) if _inside(elem[k], home, parent))
-            if first == i:
-                for k in list(score):
-                    if _inside(k, home, parent):
-                        score[k] = 0.0
-    main = max(score, key=lambda k: (score[k], -k)) if score else 0
-    if not score or score[main] <= 0:
-        main = 0
-    # The branch of each element: the child of the main box it hangs in (the main box itself for text right in it), -1 outside.
-    branch = [-1] * m
-    branch[main] = main
-    for e in range(main + 1, m):
-        p = parent[e]
-        branch[e] = e if p == main else branch[p]
-        if e != main and p == main and tag[e] in INLINE:
-            branch[e] = main
-    groups: dict[int, list[int]] = {}
-    for i in range(n):
-        groups.setdefault(branch[elem[i]], []).append(i)
-    unary = [0.0] * n
+def smoothness(at: Layout) -> tuple[list[tuple[int, int, float]], int]:
+    """(edges, auxiliary vertices) of a page; the auxiliary vertices are numbered after its nodes."""
+    elem, tag, block, branch = at.page.elem, at.page.tag, at.block, at.branch
+    n = len(elem)
     edges: list[tuple[int, int, float]] = []
-    aux = n
-    under_chrome_head = False
-    for b, members in groups.items():
-        if b == -1:
-            for i in members:
-                e = elem[i]
-                unary[i] = -3.0 if chrome[e] or notice[i] or link[e] or not sentence[i] else -1.8
-            continue
-        if b == main:
-            for i in members:
-                unary[i] = 2.0 if not chrome[elem[i]] else -4.0
-                if notice[i] and words[i] < 25:
-                    unary[i] -= 1.5
-                if ADVERT.match(text[i]):
-                    unary[i] -= 4.0
-            continue
-        t = tag[b]
-        first = text[members[0]]
-        head = tag[block[elem[members[0]]]]
-        total = sum(words[i] for i in members)
-        linked = sum(words[i] for i in members if link[elem[i]])
-        n_sentence = sum(sentence[i] for i in members)
-        bias = 1.2
-        if t in HEADS:
-            under_chrome_head = t != "h1" and CHROME_HEAD.match(first) is not None
-        if chrome[b]:
-            bias = -4.0
-        elif any(_has(e, b, parent) for e in buttons):
-            bias = -4.0
-        elif t in HEADS:
-            bias = -3.0 if under_chrome_head else 3.0
-        elif under_chrome_head and t in ("ul", "ol", "div") and linked * 2 > total:
-            bias = -3.5
-        elif head in HEADS and head != "h1" and CHROME_HEAD.match(first):
-            bias = -4.5
-        elif t in ("div", "section", "p", "span", "ul"):
-            lines = [text[i] for i in members]
-            if t != "ul" and not n_sentence and total <= 6 * len(lines):
-                chips = sum(1 for x in lines if SHARE.match(x)) * 1.0
-                by = sum(1 for x in lines if BYLINE.search(x))
-                hashes = sum(1 for x in lines if x[0] == "#")
-                if hashes * 2 > len(lines):
-                    bias = 1.5
-                elif chips * 2 >= len(lines):
-                    bias = -4.0
-                elif by and by * 2 >= len(lines) - 1 and len(lines) <= 4:
-                    bias = -4.0
-            if len(lines) == 1 and ADVERT.search(first) and total <= 12:
-                bias = -4.0
-            elif notice[members[0]] and total < 40 and len(lines) <= 3:
-                bias = -2.5 if t in ("div", "section") else 0.2
-        for i in members:
-            u = bias
-            if bias > 0:
-                if sentence[i]:
-                    u += 1.0
-                elif ADVERT.match(text[i]) and words[i] <= 8:
-                    u = -1.5
-            elif sentence[i] and not notice[i] and not chrome[elem[i]]:
-                u += 0.6
-            unary[i] = u
-        if len(members) > 1:
-            for i in members:
-                edges.append((i, aux, 0.5))
-            unary.append(0.0)
-            aux += 1
+    extra = 0
+    for b, members in at.groups.items():
+        if b not in (-1, at.main) and len(members) > 1:
+            edges += [(i, n + extra, BRANCH) for i in members]
+            extra += 1
     for i in range(n - 1):
         a, b = elem[i], elem[i + 1]
         if block[a] == block[b]:
-            w = 1.2
+            w = SAME_BLOCK
         elif branch[a] == branch[b]:
-            w = 0.5 if branch[a] != -1 or box[a] == box[b] else 0.2
+            w = SAME_BRANCH if branch[a] != -1 or at.box[a] == at.box[b] else SAME_BOX
         else:
-            w = 0.15
+            # A subheading stands over what follows; a headline stands over the page.
+            w = HEADING if tag[block[a]] in HEADS and tag[block[a]] != "h1" else APART
         edges.append((i, i + 1, w))
-    page.label = min_cut(unary, edges)[:n]
-    return page
+    return edges, extra
 
 
-def _inside(e: int, box: int, parent: list[int]) -> bool:
-    while e > box:
-        e = parent[e]
-    return e == box
+def cut_labels(at: Layout, costs: list[float]) -> list[bool]:
+    """The labels of the minimum cut: True where a node belongs to the page's own content."""
+    edges, extra = smoothness(at)
+    return min_cut(costs + [0.0] * extra, edges)[: len(costs)]
 
 
-_has = _inside
+def label_page(html: str, model: ContentModel) -> Page:
+    """The page with a label for each text node."""
+    page = Page(html)
+    if page.text:
+        page.label = cut_labels(*model.layout(page))
+    return page
+
 
+def html_bodies(bodies: DataFrame) -> DataFrame:
+    """(content_hash, body, content_type) of the HTML bodies that have a hash and bytes."""
+    kept = bodies.where(is_html(bodies["content_type"]) & bodies["content_hash"].isNotNull() & bodies["body"].isNotNull())
+    return kept.select("content_hash", "body", "content_type")
 
-def own_text(html: str) -> tuple[str | None, Page]:
-    """(title, labelled page)."""
-    return title_of(html), label_page(html)
 
+_fitted: dict[int, ContentModel] = {}
 
-def own_nodes(bodies: DataFrame) -> DataFrame:
+
+def fitted_model(bodies: DataFrame, sample_pages: int = SAMPLE_PAGES) -> ContentModel:
+    """The classifier fitted on about ``sample_pages`` HTML bodies, chosen by the hash of their names; fitted once a sample and process.
+
+    The sample is what the driver gets: at most twice ``sample_pages`` rows, however large the table. Everything after covers all bodies.
+    """
+    html = html_bodies(bodies)
+    rows = html.agg(F.count("*")).first()[0]
+    place = F.pmod(F.xxhash64("content_hash"), F.lit(1 << 32))
+    sample = html.where(place < int(min(1.0, sample_pages / max(rows, 1)) * (1 << 32))).dropDuplicates(["content_hash"]).orderBy("content_hash").limit(2 * sample_pages).collect()
+    texts = [page_text(r["body"], r["content_type"]) for r in sample]
+    key = hash(tuple(texts))
+    if key not in _fitted:
+        _fitted.clear()
+        _fitted[key] = fit(map(Page, texts), cut_labels)
+    return _fitted[key]
+
+
+def own_nodes(bodies: DataFrame, model: ContentModel | None = None) -> DataFrame:
     """(content_hash, node_no) of the text nodes of every HTML body that belong to its own content.
 
     Input: content_hash string, body binary, content_type string; other columns play no part. Nodes are the non-blank text runs
     of the body outside script, style, noscript, template and comments, numbered from 1 in document order. Repeated rows give
     each node once. A null hash, a null or empty body, a body that isn't HTML and a page without text give no row; an empty
     table gives no row. Very long pages are read to their end. Bytes that don't decode become U+FFFD and change no numbering.
+    Without a ``model`` one is fitted on a sample of the bodies.
     """
+    model = model or fitted_model(bodies)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             hashes: list[str] = []
             numbers: list[list[int]] = []
             for h, body, ct in zip(batch.content_hash, batch.body, batch.content_type):
-                own = [i + 1 for i, x in enumerate(label_page(page_text(body, ct)).label) if x]
+                own = [i + 1 for i, x in enumerate(label_page(page_text(body, ct), model).label) if x]
                 if own:
                     hashes.append(h)
                     numbers.append(own)
             yield frame(content_hash=hashes, nodes=numbers)
 
-    html = bodies.where(is_html(bodies["content_type"]) & bodies["content_hash"].isNotNull() & bodies["body"].isNotNull())
-    labelled = html.select("content_hash", "body", "content_type").mapInPandas(run, "content_hash string, nodes array<int>")
+    labelled = html_bodies(bodies).mapInPandas(run, "content_hash string, nodes array<int>")
     once = labelled.dropDuplicates(["content_hash"])
     return once.selectExpr("content_hash", "explode(nodes) AS node_no")

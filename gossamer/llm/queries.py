@@ -26,6 +26,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.stuffed_documents(table(spark, d, "document"), table(spark, d, "page_body"))
 
 
+def p2_shape_groups(spark: SparkSession, d: str) -> DataFrame:
+    return spam.shape_groups(table(spark, d, "document"), table(spark, d, "page_body"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.own_nodes(table(spark, d, "page_body"))
 
@@ -67,7 +71,7 @@ def p9_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p4_found, p4_wrong_answers, p5_found, p7_found, p7_report, p8_mixture, p8_shares, p9_found, p9_languages)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_shape_groups, p3_found, p4_found, p4_wrong_answers, p5_found, p7_found, p7_report, p8_mixture, p8_shares, p9_found, p9_languages)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,30 +16,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gossamer.functions.html import is_html, page_text, title_of
-from gossamer.llm.boilerplate import CODE_TAGS, Page, label_page
+from gossamer.llm.boilerplate import fitted_model, label_page
+from gossamer.llm.content_model import ContentModel
+from gossamer.llm.page import CODE_TAGS, Page
 
-#: One grammar per delimiter, as alternatives. The bodies exclude blanks at both ends where code would have none, and newlines.
+#: One grammar per delimiter, as alternatives. A body excludes its own delimiters and newlines; its length plays no part.
 PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{0,80}\}\}"  # {{ name }}
-    r"|\$\{[^{}\n]{1,80}\}"  # ${name}
-    r"|<%[^%\n]{1,120}%>"  # <%= name %>
-    r"|\{%[^%\n]{1,120}%\}"  # {% block %}
-    r"|\[\[[^\[\]\n]{1,60}\]\]"  # [[NAME]]
-    r"|%%\w[\w .-]{0,40}%%"  # %%NAME%%
-    r"|@@[\w.-]{1,40}@@"  # @@name@@
-    r"|##[A-Z][A-Z0-9_]{1,40}##|(?<![\w#])#[A-Z][A-Z0-9_]{2,40}#(?!\w)"  # ##NAME##, #NAME#
-    r"|\$[A-Z][A-Z0-9_]{1,40}\$"  # $NAME$
-    r"|(?<!\w)__[A-Z][A-Z0-9_]{1,40}__(?!\w)"  # __NAME__
-    r"|(?<!\w)XX_[A-Z0-9_]+_XX(?!\w)|(?<!\w)[A-Z]+_(?:GOES|COMES)_HERE(?!\w)|(?<!\w)(?:YOUR|INSERT|ENTER|REPLACE)_[A-Z_]{2,40}(?!\w)"
-    r"|(?<![\w{$])\{[A-Za-z][\w .-]{0,30}\}(?!\})"  # {name}
+    r"\{\{[^{}\n]*\}\}"  # {{ name }}
+    r"|\$\{[^{}\n]+\}"  # ${name}
+    r"|<%[^%\n]+%>"  # <%= name %>
+    r"|\{%[^%\n]+%\}"  # {% block %}
+    r"|\[\[[^\[\]\n]+\]\]"  # [[NAME]]
+    r"|%%\w[\w .-]*%%"  # %%NAME%%
+    r"|@@[\w.-]+@@"  # @@name@@
+    r"|##[A-Z][A-Z0-9_]+##|(?<![\w#])#[A-Z][A-Z0-9_]{2,}#(?!\w)"  # ##NAME##, #NAME#
+    r"|\$[A-Z][A-Z0-9_]+\$"  # $NAME$
+    r"|(?<!\w)__[A-Z][A-Z0-9_]+__(?!\w)"  # __NAME__
+    r"|(?<!\w)XX_[A-Z0-9_]+_XX(?!\w)|(?<!\w)[A-Z]+_(?:GOES|COMES)_HERE(?!\w)|(?<!\w)(?:YOUR|INSERT|ENTER|REPLACE)_[A-Z_]{2,}(?!\w)"
+    r"|(?<![\w{$])\{[A-Za-z][\w .-]*\}(?!\})"  # {name}
     r"|(?<![\w\[])\[(?!(?:sic|edit|citation needed|\.\.\.|pdf|video|update|ed)\])(?:[A-Za-z][A-Za-z_]*(?: [A-Za-z_]+){0,3})\](?![\](])"  # [name]
     r"|(?<!\S)\?\?(?!\S)"  # ?? km
     r"|(?<![\w%])%(?:s|d|\d\$s)(?!\w)"  # %s
 )
-#: Spots that a template filled with nothing or with a missing value.
+_UNIT = r"(?:second|minute|hour|day|week|month|year|item|result|message|entr|point|page|seat|room|copie|euro|mile)\w*"
+#: Spots that a template filled with nothing or with a missing value, by what may not stand side by side around a gap.
 EMPTY_FILL = re.compile(
-    r"\w ,(?=\s)"  # Dear , thank you
-    r"|(?i:(?<!\w)(?:posted in by|(?:posted|written|published|updated|changed) (?:on|by) (?:by(?!\w)|\.|,)|distance from to|price: (?:incl|excl|net)(?!\w)|call us at or|write to \.|offer from ends|ends in days|holds items|partner for \.))"
+    r"\w[ \t]+[.,](?=\s|$)"  # a blank before a closing mark: "Dear , thank you", "write to ."
+    r"|(?i:(?<!\w)(?:in|by|from|to|at|of|for|with|on|von|bis|mit|par|pour|por|para|per|da|van|voor|från|för)[ \t]{2,}\w)"  # a preposition before a doubled blank
+    r"|(?i:(?<!\w)from (?:to|until|till|by|ends?|starts?|begins?|closes?|expires?)(?!\w))"  # from _ to, from _ ends
+    r"|(?i:(?<!\w)(?:at|until|between) (?:or|and)(?! (?:near|above|below|beyond|before|after|around|about|under|over|through)(?!\w))(?!\w))"  # at _ or
+    r"|(?i:^\w+ (?:in|on|at)) by(?!\w)"  # Posted in _ by Ann
+    r"|(?i:^\w+ (?:on|by|at) (?:by|on|at)(?!\w))"  # Written by _ on _
+    r"|(?i:\w: (?:incl|excl|net|plus|inkl|zzgl|plus)(?!\w))"  # price: _ incl
+    r"|(?i:(?<!\w)(?:ends?|starts?|closes?|opens?|expires?|arrives?|ships?|leaves?|begins?) (?:in|after|within) " + _UNIT + r")"  # ends in _ days
+    r"|(?i:(?<!\w)(?:your|the) (?:\w+ )?(?:basket|cart|list|order|inbox|account|box) (?:holds|contains|has) " + _UNIT + r")"  # your basket holds _ items
     r"|(?<!\w)(?:undefined|NaN|\[object Object\])(?=[,.!\s]|$)(?! (?:is|means|was|value|variable|behaviou?r))"
 )
 DEFAULT_TITLE = re.compile(
@@ -69,9 +79,11 @@ MESSAGE = re.compile(
 )
 TALK = re.compile(r"\b(?:templates?|placeholders?|syntax|braces?|escap\w+|variables?|expressions?|delimiters?|tokens?|markup|documentation|tutorial|example|dummy copy|calls its|snippet|renders?|prints)\b", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
-#: Most words of own content that a message can stand instead of.
-MESSAGE_WORDS = 60
-PLACE, FILLER, ERROR, TITLE = "placeholder", "filler", "message", "title"
+#: A message stands instead of content if its sentences hold such a share of the own content's words, however long that is.
+MESSAGE_SHARE = 0.15
+#: Own content of fewer words, most of it in sentences, is a stub: under error statuses alone it is a message whatever its wording.
+STUB_WORDS = 40
+PLACE, FILLER, ERROR, TITLE, STUB = "placeholder", "filler", "message", "title", "stub"
 
 
 def title_residue(title: str | None) -> bool:
@@ -80,15 +92,16 @@ def title_residue(title: str | None) -> bool:
 
 
 def residue_kind(page: Page, title: str | None) -> str | None:
-    """What kind of residue the page is, or null: a placeholder, filler, a message instead of content, or a title of these kinds."""
+    """What kind of residue the page is, or null: a placeholder, filler, a message instead of content, or a title of these kinds.
+
+    A stub is none by itself: its documents' statuses decide.
+    """
     own = [(page.text[i], page.elem[i]) for i, mine in enumerate(page.label) if mine]
     coded = any(page.tag[e] in CODE_TAGS for _, e in own)
-    words = latin = default = 0
-    plain: list[str] = []
+    words = latin = default = message = told = 0
     for text, e in own:
         if page.tag[e] in CODE_TAGS:
             continue
-        plain.append(text)
         n = text.count(" ") + 1
         words += n
         if any(c in text for c in "{}[]$<%@#_?"):
@@ -111,13 +124,19 @@ def residue_kind(page: Page, title: str | None) -> str | None:
                 if not rest or rest[:1].isupper():
                     default += 1
             m = sentence.count(" ") + 1
+            if m >= 4 and sentence[-1] in ".!?…":
+                told += m
+            if MESSAGE.search(sentence) is not None:
+                message += m
             if m >= 2 and sum(1 for w in sentence.lower().split() if _LATIN.match(w)) >= 0.6 * m:
                 latin += m
     if default or (words and latin >= 0.3 * words and latin >= 8):
         return FILLER
-    if words and words <= MESSAGE_WORDS and MESSAGE.search(" ".join(plain)):
+    if words and message >= MESSAGE_SHARE * words:
         return ERROR
-    return TITLE if title_residue(title) else None
+    if title_residue(title):
+        return TITLE
+    return STUB if 0 < words < STUB_WORDS and 2 * told > words else None
 
 
 def plain_page(text: str) -> Page:
@@ -129,12 +148,14 @@ def plain_page(text: str) -> Page:
     return page
 
 
-def residue_bodies(bodies: DataFrame) -> DataFrame:
-    """(content_hash, kind) of the stored bodies whose title or own content is residue; a body stored twice may come twice.
+def residue_bodies(bodies: DataFrame, model: ContentModel | None = None) -> DataFrame:
+    """(content_hash, kind) of the stored bodies whose title or own content is residue or a stub; a body stored twice may come twice.
 
     Input: content_hash, body, content_type. A null hash gives no row; a null, empty or unreadable body has no text and gives no
     row; a body that isn't HTML counts as own content as a whole, but no message stands in it; very long bodies are read to their end.
+    Without a ``model`` for the own content one is fitted on a sample of the bodies.
     """
+    model = model or fitted_model(bodies)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -142,10 +163,10 @@ def residue_bodies(bodies: DataFrame) -> DataFrame:
             for h, body, ct, html in zip(batch.content_hash, batch.body, batch.content_type, batch.html):
                 text = page_text(body, ct)
                 if html:
-                    kind = residue_kind(label_page(text), title_of(text))
+                    kind = residue_kind(label_page(text, model), title_of(text))
                 else:
                     kind = residue_kind(plain_page(text), None)
-                    kind = None if kind == ERROR else kind
+                    kind = None if kind in (ERROR, STUB) else kind
                 if kind:
                     out.append((h, kind))
             yield pd.DataFrame(out, columns=["content_hash", "kind"])
@@ -154,14 +175,17 @@ def residue_bodies(bodies: DataFrame) -> DataFrame:
     return kept.select("content_hash", "body", "content_type", is_html(bodies["content_type"]).alias("html")).mapInPandas(run, "content_hash string, kind string")
 
 
-def residue_documents(document: DataFrame, bodies: DataFrame) -> DataFrame:
+def residue_documents(document: DataFrame, bodies: DataFrame, model: ContentModel | None = None) -> DataFrame:
     """(document_id) of every document with a stored body that is residue, or with a stored body and a title that is.
 
-    Every URL that shares the body counts; ids come once, however often a row is repeated; a null id or hash gives no row. The flagged
-    hashes are unique and few, the documents may hold one hash on a third of all rows: AQE splits that partition of the semi join.
+    A stub counts if every known http_status of its documents is an error. Every URL that shares the body counts; ids come once, however
+    often a row is repeated; a null id or hash gives no row. The flagged hashes are few, the documents may hold one hash on a third of
+    all rows: statuses are aggregated per hash before they meet the stubs, and AQE splits that partition of the semi join.
     """
-    docs = document.select("id", "content_hash", "title").where(F.col("id").isNotNull() & F.col("content_hash").isNotNull())
-    flagged = residue_bodies(bodies).select("content_hash")
+    docs = document.select("id", "content_hash", "title", "http_status").where(F.col("id").isNotNull() & F.col("content_hash").isNotNull())
+    found = residue_bodies(bodies, model)
+    good = docs.groupBy("content_hash").agg(F.coalesce(F.min("http_status") >= 400, F.lit(False)).alias("failed"))
+    flagged = found.groupBy("content_hash").agg(F.min(F.col("kind") == STUB).alias("stub")).join(good, "content_hash").where(~F.col("stub") | F.col("failed"))
     by_body = docs.join(flagged, "content_hash", "left_semi").select("id")
     titled = docs.where(F.col("title").rlike(PLACEHOLDER.pattern) | F.col("title").rlike(DEFAULT_TITLE.pattern))
     by_title = titled.join(bodies.select("content_hash"), "content_hash", "left_semi").select("id")

@@ -1,6 +1,7 @@
 """Main content, stuffed pages and residue."""
 
 import itertools
+import os
 import random
 import zlib
 from html.parser import HTMLParser
@@ -8,11 +9,14 @@ from html.parser import HTMLParser
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gossamer.functions.html import page_text, title_of
-from gossamer.llm import boilerplate, residue, spam
-from gossamer.llm.boilerplate import label_page
+from gossamer.llm import boilerplate, content_model, residue, spam
+from gossamer.llm.boilerplate import cut_labels, label_page
+from gossamer.llm.content_model import ContentModel, Layout
 from gossamer.llm.maxflow import min_cut
+from gossamer.llm.page import Page
 
 
 def cost(unary, edges, labels):
@@ -44,38 +48,80 @@ def page(main, **parts):
     return f"<html><head><title>{parts.get('title', 'Boats')}</title></head><body>{top}{main}{end}</body></html>"
 
 
-def own(html):
-    p = label_page(html)
+@pytest.fixture(scope="module")
+def model(spark):
+    folder = "/root/testdata/sf0.01/page_body.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables here")
+    return boilerplate.fitted_model(spark.read.parquet(folder))
+
+
+def own(html, model):
+    p = label_page(html, model)
     return [t for t, mine in zip(p.text, p.label) if mine]
 
 
-def test_article_with_interruptions():
+def test_article_with_interruptions(model):
     main = f"""<main><article><h1>Boats</h1><div><span>By Ann Lake</span><span>3 May</span><span>4 min read</span></div><p>{PROSE}</p>
     <div class="article-info"><p>We use cookies to measure visits.</p><button>OK</button></div><div class="promo"><p>Get one letter a month.</p><button>Subscribe</button></div>
     <p>{PROSE} <a href="/x">A related idea</a> stays inside.</p><ul><li>Oars</li><li>Sails are heavy when wet.</li></ul><table><tr><td>mast</td><td>12 m</td></tr></table><pre><code>x = 1</code></pre>
     <div>Advertisement</div><div><span>Share</span><span>Print</span><span>Mail</span></div></article></main>
     <div><h3>Comments</h3><div><b>joe12</b><p>{PROSE}</p></div></div><aside><h3>Related</h3><ul><li><a href="/1">More boats</a></li></ul></aside>"""
-    assert own(page(main)) == ["Boats", PROSE, PROSE, "A related idea", "stays inside.", "Oars", "Sails are heavy when wet.", "mast", "12 m", "x = 1"]
+    assert own(page(main), model) == ["Boats", PROSE, PROSE, "A related idea", "stays inside.", "Oars", "Sails are heavy when wet.", "mast", "12 m", "x = 1"]
 
 
-def test_table_layout_without_headline():
+def test_table_layout_without_headline(model):
     main = f"<table><tr><td><p>{PROSE}</p><p>{PROSE}</p></td></tr></table><table><tr><td><h3>More from this section</h3><ul><li><a href='/q'>Next</a></li></ul></td></tr></table>"
-    assert own(page(main)) == [PROSE, PROSE]
+    assert own(page(main), model) == [PROSE, PROSE]
 
 
-def test_a_message_is_the_content():
-    assert own(page("<div><h1>Lake Paper</h1><p>You need to enable JavaScript to run this app.</p></div>")) == ["Lake Paper", "You need to enable JavaScript to run this app."]
+def test_a_message_is_the_content(model):
+    assert own(page("<div><h1>Lake Paper</h1><p>You need to enable JavaScript to run this app.</p></div>"), model) == ["Lake Paper", "You need to enable JavaScript to run this app."]
 
 
-def test_pages_without_anything():
+def test_pages_without_anything(model):
     for text in ("", "<html></html>", "<body><script>x</script></body>", "<body>" + "<div>" * 3000):
-        assert own(text) == []
-    assert label_page("<<<>>>").text == ["<<<>>>"]
+        assert own(text, model) == []
+    assert label_page("<<<>>>", model).text == ["<<<>>>"]
 
 
-def test_a_very_long_page_is_read_to_its_end():
+def test_a_very_long_page_is_read_to_its_end(model):
     body = "<main><h1>T</h1>" + f"<p>{PROSE}</p>" * 4000 + "<p>The very last line ends here.</p></main>"
-    assert own(page(body))[-1] == "The very last line ends here." and len(own(page(body))) == 4002
+    assert own(page(body), model)[-1] == "The very last line ends here." and len(own(page(body), model)) == 4002
+
+
+def test_the_cut_decides(model):
+    """Without any capacity between nodes some labels differ; on the pages at hand the edges settle doubtful nodes."""
+    doubtful = page(f"<main><article><h1>Boats</h1><p>{PROSE}</p><div><span>Zurp</span><span>Share</span><span>Print</span><span>Mail</span></div><p>{PROSE}</p></article></main>")
+    layout, costs = model.layout(Page(doubtful))
+    at = layout.page.text.index("Zurp")
+    labels = cut_labels(layout, costs)
+    assert not labels[at] and not any(labels[at : at + 4])
+    raised = [2.0 if i == at else c for i, c in enumerate(costs)]
+    assert not cut_labels(layout, raised)[at]  # against the sign of its own cost
+
+
+def test_prior_without_a_model():
+    bare = ContentModel()
+    got = own(page(f"<main><article><h1>Boats</h1><p>{PROSE}</p></article></main><aside><a href='/x'>More</a></aside>"), bare)
+    assert got == ["Boats", PROSE]
+    assert content_model.fit([], cut_labels).words == {} and Layout(Page(""), None).main == 0
+
+
+def test_words_are_learned_not_listed():
+    """Prompts of an invented language are learned where the markup gives them away, and known where it doesn't."""
+    rng = random.Random(5)
+    nouns = ["lake", "boat", "wind", "oar", "sail", "shore"]
+
+    def prose():
+        return " ".join(f"The {rng.choice(nouns)} near the {rng.choice(nouns)} moved before the {rng.choice(nouns)} did." for _ in range(3))
+
+    def make(inside):
+        prompt = "<div><p>Brupu zalo fendi.</p></div>"
+        return f"<body><nav><a href='/'>Home</a></nav><main><h1>{rng.choice(nouns)}</h1><p>{prose()}</p>{prompt if inside else ''}<p>{prose()}</p></main>{'' if inside else '<aside>' + prompt + '</aside>'}</body>"
+
+    model = content_model.fit([Page(make(False)) for _ in range(40)], cut_labels)
+    assert "Brupu zalo fendi." not in own(make(True), model)
 
 
 class Slow(HTMLParser):
@@ -103,7 +149,7 @@ def test_node_numbers(spark, data):
         text = page_text(r["body"], r["content_type"])
         slow = Slow()
         slow.feed(text)
-        assert label_page(text).text == slow.nodes
+        assert Page(text).text == slow.nodes
 
 
 def pack(text, charset="utf-8"):
@@ -145,7 +191,8 @@ def test_line_shapes(line, linked, sentence):
 
 def flagged(spark, pages, documents=None):
     bodies = spark.createDataFrame([(k, pack(t), "text/html", "x", 1, 2) for k, t in pages.items()], BODY)
-    docs = spark.createDataFrame(documents or [(i, k, None) for i, k in enumerate(pages)], "id long, content_hash string, title string")
+    rows = [(*r, 200)[:4] for r in documents or [(i, k, None) for i, k in enumerate(pages)]]
+    docs = spark.createDataFrame(rows, "id long, content_hash string, title string, http_status int")
     return bodies, docs
 
 
@@ -165,6 +212,24 @@ def test_stuffed_documents(spark):
     assert sorted(r["document_id"] for r in spam.stuffed_documents(docs, bodies).collect()) == [2, 3, 4]
 
 
+def test_dominance_by_few_shapes_decides(spark):
+    """Two pages without sentences: one of few shapes, one of many, of which none prevails."""
+    few = [("L7a0", False, 40, 200), ("L3a0@", False, 40, 100), ("L1a0", False, 10, 10)]
+    many = [(f"L{size}{case}{gap}", False, 5, 20) for size in ("1", "3", "7", "15") for case in "0as" for gap in "0m"]
+    said = [("L7a0", False, 5, 60), ("S15s0", True, 4, 40)]
+    df = spark.createDataFrame([("few", few), ("many", many), ("said", said), ("none", [])], spam.SHAPES)
+    assert [r[0] for r in df.where(spam.is_stuffed(F.col("shapes"))).collect()] == ["few"]
+
+
+def test_shape_groups(spark):
+    keywords = " * ".join(["cheap boats", "best boats"] * 40)
+    pages = {"a": page(f"<main><h1>boats</h1><p>{keywords}</p></main>"), "b": page(f"<main><h1>boats</h1><p>{keywords} * boats</p></main>"), "ok": page(f"<main><h1>Boats</h1><p>{PROSE}</p></main>")}
+    bodies, docs = flagged(spark, pages, [(1, "a", None), (1, "a", None), (2, "a", None), (3, "ok", None)])
+    rows = spam.shape_groups(docs.withColumn("out_degree", F.when(F.col("id") == 1, 4)), bodies).collect()
+    assert sum(r["n_bodies"] for r in rows) == 2 and sum(r["n_documents"] for r in rows) == 2
+    assert {r["mean_out_degree"] for r in rows if r["n_documents"]} == {4.0}
+
+
 # Residue
 
 
@@ -180,34 +245,66 @@ def test_no_placeholders(text):
     assert not residue.PLACEHOLDER.search(text)
 
 
-def kind(main, title="Boats"):
+def kind(main, model, title="Boats"):
     html = page(main, title=title)
-    return residue.residue_kind(label_page(html), title_of(html))
+    return residue.residue_kind(label_page(html, model), title_of(html))
 
 
-def test_residue_kinds():
+def test_residue_kinds(model):
     real = f"<p>{PROSE}</p>" * 4
-    assert kind(f"<main><h1>Boats</h1>{real}</main>") is None
-    assert kind(f"<main><h1>Boats</h1>{real}<p>Dear {{{{ name }}}}, thank you.</p></main>") == residue.PLACE
-    assert kind(f"<main><h1>Boats</h1>{real}<p>Dear , thank you for all.</p></main>") == residue.PLACE
-    assert kind(f"<main><h1>Your heading goes here</h1>{real}</main>") == residue.FILLER
-    assert kind("<main><h1>Welcome</h1><p>Lorem ipsum dolor sit amet, consectetur adipiscing elit. Sed tempor magna velit nibh orci lectus.</p></main>") == residue.FILLER
-    assert kind("<main><h1>Oops!</h1><p>Something went wrong on our side.</p></main>") == residue.ERROR
-    assert kind(f"<main><h1>Boats</h1>{real}</main>", "{{title}} – Lake") == residue.TITLE
-    assert kind(f"<main><h1>Boats</h1>{real}</main>", "undefined | Lake") == residue.TITLE
+    assert kind(f"<main><h1>Boats</h1>{real}</main>", model) is None
+    assert kind(f"<main><h1>Boats</h1>{real}<p>Dear {{{{ name }}}}, thank you.</p></main>", model) == residue.PLACE
+    assert kind(f"<main><h1>Boats</h1>{real}<p>Dear , thank you for all.</p></main>", model) == residue.PLACE
+    assert kind(f"<main><h1>Your heading goes here</h1>{real}</main>", model) == residue.FILLER
+    assert kind("<main><h1>Welcome</h1><p>Lorem ipsum dolor sit amet, consectetur adipiscing elit. Sed tempor magna velit nibh orci lectus.</p></main>", model) == residue.FILLER
+    assert kind("<main><h1>Oops!</h1><p>Something went wrong on our side.</p></main>", model) == residue.ERROR
+    assert kind(f"<main><h1>Boats</h1>{real}</main>", model, "{{title}} – Lake") == residue.TITLE
+    assert kind(f"<main><h1>Boats</h1>{real}</main>", model, "undefined | Lake") == residue.TITLE
 
 
-def test_talk_about_residue_is_no_residue():
+def test_talk_about_residue_is_no_residue(model):
     real = f"<p>{PROSE}</p>" * 6
-    assert kind(f"<main><h1>Templates</h1><pre><code>{{{{ name }}}}</code></pre><p>The block above prints a field.</p>{real}</main>") is None
-    assert kind(f"<main><h1>Templates</h1><pre><code>x</code></pre><p>In a template, {{{{ name }}}} prints the name of the user.</p>{real}</main>") is None
-    assert kind(f"<main><h1>Codes</h1><p>A page not found reply is normal, and a crawler lists it.</p>{real}</main>") is None
-    assert kind(f"<main><h1>Print</h1><p>The printer calls its dummy copy lorem ipsum, and so do we all.</p>{real}</main>") is None
-    assert kind(f"<main><h1>Boats</h1><noscript><p>Please enable JavaScript.</p></noscript>{real}</main>") is None
+    assert kind(f"<main><h1>Templates</h1><pre><code>{{{{ name }}}}</code></pre><p>The block above prints a field.</p>{real}</main>", model) is None
+    assert kind(f"<main><h1>Templates</h1><pre><code>x</code></pre><p>In a template, {{{{ name }}}} prints the name of the user.</p>{real}</main>", model) is None
+    assert kind(f"<main><h1>Codes</h1><p>A page not found reply is normal, and a crawler lists it.</p>{real}</main>", model) is None
+    assert kind(f"<main><h1>Print</h1><p>The printer calls its dummy copy lorem ipsum, and so do we all.</p>{real}</main>", model) is None
+    assert kind(f"<main><h1>Boats</h1><noscript><p>Please enable JavaScript.</p></noscript>{real}</main>", model) is None
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["Hello , your parcel is here.", "Reply to .", "Filed under  by noon, thanks to  today.", "Flights from to", "Valid from until further notice", "Tickets from starts today", "Ring us at or visit the shop.", "Published in by Ann", "Written by on", "Total: excl shipping", "The sale closes in hours",
+     "The voucher expires after days.", "Your cart contains items", "The list holds results", "undefined, welcome back"],
+)
+def test_empty_fills_of_other_wordings(text):
+    assert residue.EMPTY_FILL.search(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["He came from the lake, by boat.", "Open at or after noon.", "She walked in by the back door in May.", "The ferry leaves in two hours.", "It stayed for days.", "Your cart contains three items.", "Price: 12 incl. VAT", "What is it for? Ann knows.", "NaN is a value", "Il part : enfin !", "from time to time"],
+)
+def test_full_sentences_have_no_gap(text):
+    assert not residue.EMPTY_FILL.search(text)
+
+
+def test_long_placeholders_and_long_messages(model):
+    real = f"<p>{PROSE}</p>" * 4
+    assert kind(f"<main><h1>Boats</h1>{real}<p>Dear {{{{ {'user.name | ' * 40} }}}}, thank you.</p></main>", model) == residue.PLACE
+    sorry = "Something went wrong on our side and the page you asked for could not be shown to you today. " * 6
+    assert kind(f"<main><h1>Oops</h1><p>{sorry}</p></main>", model) == residue.ERROR
+
+
+def test_stubs_under_error_statuses(spark):
+    """A stub of unknown wording is residue only if every known status of its documents is an error."""
+    stub = page("<main><h1>Ejbvi</h1><p>Seda lehte ei ole siin enam leida.</p></main>")
+    pages = {"s": stub, "t": stub.replace("siin", "seal"), "u": stub.replace("siin", "kuskil")}
+    bodies, docs = flagged(spark, pages, [(1, "s", None, 404), (2, "s", None, None), (3, "t", None, 404), (4, "t", None, 200), (5, "u", None, None)])
+    assert sorted(r[0] for r in residue.residue_documents(docs, bodies).collect()) == [1, 2]
 
 
-def test_residue_documents(spark):
+def test_residue_documents(spark, model):
     real = f"<main><h1>Boats</h1><p>{PROSE}</p><p>{PROSE}</p></main>"
     pages = {"ok": page(real), "bad": page("<div><p>Access denied. You do not have permission.</p></div>")}
     bodies, docs = flagged(spark, pages, [(1, "ok", "Boats"), (2, "bad", "x"), (3, "bad", None), (3, "bad", None), (4, "ok", "%%TITLE%%"), (5, "gone", "%%TITLE%%"), (6, None, "null"), (None, "bad", None), (7, "ok", "null")])
-    assert sorted(r["document_id"] for r in residue.residue_documents(docs, bodies).collect()) == [2, 3, 4, 7]
+    assert sorted(r["document_id"] for r in residue.residue_documents(docs, bodies, model).collect()) == [2, 3, 4, 7]
