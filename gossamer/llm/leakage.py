@@ -1,14 +1,23 @@
-"""Evaluation texts leaking into training text: MinHash containment search with exact verification.
+"""Evaluation texts leaking into training text: size-partitioned MinHash containment search, verified exactly.
 
-Containment of a short item in a long document says little as a Jaccard similarity of the two. So both are cut to one size: every run
-of ``run`` words of an item is a query set of word shingles, every run of ``run`` words of a document a domain of the same size.
-With sizes equal in this partition, containment 1 means equal sets, and equal sets have equal minima: a single band of two universal
-minima finds every leaked run for certain, and neighbouring windows mostly share their minima. Candidates are verified word by word.
+Queries are sets of word shingles of items: whole items, or each run of ``run`` words of one. Queries are partitioned by size; a
+partition of queries of up to ``u`` shingles has its own domains, namely documents cut into segments of two adjacent blocks of ``u`` shingles,
+so that a passage of that size lies whole in one segment and the containment asked for bounds the Jaccard similarity from below,
+however long a document is. From that bound follows how many universal minima the partition needs (bands of one minimum: a low
+similarity must not be missed).
+
+1. Items give their minima as keys and their shingles; both go into compact filters of bounded size, built in the cluster.
+2. Documents are read once. A segment is kept if one of its minima is a key and enough of its shingles are items' shingles.
+3. Kept segments meet the items by an equi-join on the keys; every pair is verified on its shingle sets or, for runs, word by word.
+
+The plan is one whatever the number of items: fuller filters only keep more segments for the join.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,110 +25,242 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gossamer.llm.frames import frame
-from gossamer.llm.neardup import _P1, _P3, _mix, _word_hash, words_of
-
-RUN = 13
-SHINGLE = 3
-#: Up to so many windows of items travel to the tasks as one array; beyond it both sides meet in an equi-join on the window key.
-MAX_SHIPPED_WINDOWS = 500_000
-_M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-
-
-def window_keys(words: list[str], run: int = RUN) -> np.ndarray:
-    """For each window of ``run`` words a 64-bit key of the two minima over its shingles; fewer words give none."""
-    n = len(words)
-    if n < run:
-        return np.empty(0, dtype=np.int64)
-    h = np.fromiter(map(_word_hash, words), dtype=np.uint64, count=n)
-    k = min(SHINGLE, run)
-    grams = np.zeros(n - k + 1, dtype=np.uint64)
+from gossamer.llm.neardup import _P1, _P3, _mix, ordered_shingles, words_of
+
+RUN, WIDTH = 13, 5
+#: Share of an item's shingles that a document must hold for the report.
+THRESHOLD = 0.5
+#: Chance to miss a pair at exactly the threshold, for each partition.
+MISS = 1e-4
+#: Sizes of the partitions of whole items, in shingles; larger items are cut into queries of the largest size.
+SIZES = (16, 32, 64, 128, 256)
+#: Largest filter: 2**27 bits, 16 MB.
+MAX_BITS = 1 << 27
+#: Shingles whose minima are taken at a time.
+PIECE = 1 << 14
+_rng = np.random.RandomState(20240613)
+_MULT = (_rng.randint(0, 2**63, 512, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+_ADD = _rng.randint(0, 2**63, 512, dtype=np.int64).astype(np.uint64)
+_LANE = _mix(np.arange(1, 513, dtype=np.uint64) * _P3)
+
+
+@dataclass(frozen=True)
+class Partition:
+    """Queries of up to ``size`` shingles, at least ``least`` of them, against segments of two blocks of ``size``."""
+
+    size: int
+    least: int
+    threshold: float
+
+    @property
+    def similarity(self) -> float:
+        """The least Jaccard similarity of a segment that holds ``threshold`` of a query of ``least`` shingles."""
+        held = self.threshold * self.least
+        return held / (2 * self.size + self.least - held)
+
+    @property
+    def n_minima(self) -> int:
+        return min(len(_MULT), max(8, math.ceil(math.log(MISS) / math.log(1 - self.similarity))))
+
+
+def item_partitions(threshold: float) -> tuple[Partition, ...]:
+    return tuple(Partition(u, u // 2 + 1 if i else 1 + u // 4, threshold) for i, u in enumerate(SIZES))
+
+
+def run_partition(run: int) -> Partition:
+    """Runs of ``run`` words: one size, wholly contained. Runs of less than half as many distinct shingles have keys of their own."""
+    size = max(1, run - WIDTH + 1)
+    return Partition(size, max(1, (size + 1) // 2), 1.0)
+
+
+def block_minima(shingles: np.ndarray, starts: np.ndarray, n_minima: int) -> np.ndarray:
+    """(n_minima × blocks): the least universal hash of each block, by pieces. ``starts``: first shingle of each block, ascending."""
+    out = np.empty((n_minima, len(starts)), dtype=np.uint64)
+    ends = np.append(starts[1:], len(shingles))
+    at = 0
+    with np.errstate(over="ignore"):
+        while at < len(starts):
+            to = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE, side="right")))
+            part = _MULT[:n_minima, None] * shingles[starts[at] : ends[to - 1]] + _ADD[:n_minima, None]
+            out[:, at:to] = np.minimum.reduceat(part, starts[at:to] - starts[at], axis=1)
+            at = to
+    return out
+
+
+def lane_keys(minima: np.ndarray, size: int) -> np.ndarray:
+    """64-bit keys of minima, by lane and partition."""
     with np.errstate(over="ignore"):
-        for i in range(k):
-            grams = _mix(grams * _P1 + h[i : i + len(grams)] + _P3)
-        wide = run - k + 1
-        out = np.zeros(len(grams) - wide + 1, dtype=np.uint64)
-        for mult in (_M1, _M2):
-            least = np.lib.stride_tricks.sliding_window_view(_mix(grams * mult), wide).min(axis=1)
-            out = _mix(out * _P1 + least)
-    return out.view(np.int64)
+        return _mix(minima * _P1 + _LANE[: len(minima), None] + np.uint64(size)).view(np.int64)
+
+
+def repeat_keys(shingles: np.ndarray, size: int) -> np.ndarray:
+    """Keys of the shingles that stand twice within half of ``size`` positions: a run of few distinct shingles holds such a one."""
+    twice = [shingles[d:][shingles[d:] == shingles[:-d]] for d in range(1, (size + 1) // 2) if d < len(shingles)]
+    found = np.unique(np.concatenate(twice)) if twice else shingles[:0]
+    with np.errstate(over="ignore"):
+        return _mix(found * _P1 + np.uint64(size) + _P3).view(np.int64)
+
+
+def query_keys(shingles: np.ndarray, part: Partition) -> np.ndarray:
+    distinct = np.unique(shingles)
+    if len(distinct) < part.least and part.threshold >= 1:
+        return repeat_keys(shingles, part.size)
+    return lane_keys(block_minima(distinct, np.zeros(1, dtype=np.int64), part.n_minima), part.size)[:, 0]
 
 
-def item_windows(items: DataFrame, run: int = RUN) -> DataFrame:
-    """(item_id, key, words) of every window of every item; null ids and texts and items under ``run`` words have none."""
+class KeySet:
+    """A Bloom filter of 64-bit keys with two places a key."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.mask = bits, np.uint64(len(bits) * 64 - 1)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        k = keys.view(np.uint64)
+        a, b = k & self.mask, (k >> np.uint64(32)) & self.mask
+        held = (self.bits[(a >> np.uint64(6)).astype(np.int64)] >> (a & np.uint64(63))) & np.uint64(1) == 1
+        at = np.nonzero(held)
+        b = b[at]
+        held[at] = (self.bits[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1
+        return held
+
+
+def key_set(keys: DataFrame, column: str) -> KeySet:
+    """The filter over a column of 64-bit keys: 16 bits a key up to ``MAX_BITS``. Its words are OR-ed in the cluster."""
+    n = keys.agg(F.approx_count_distinct(column)).first()[0]
+    bits = min(MAX_BITS, 1 << max(10, math.ceil(math.log2(16 * max(n, 1)))))
+    places = keys.select(F.explode(F.array(F.col(column), F.shiftrightunsigned(column, 32))).alias("h")).select((F.col("h").bitwiseAND(F.lit(bits - 1))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63L as int)))").alias("v")).toPandas()
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[words["w"].to_numpy(dtype=np.int64)] = words["v"].to_numpy(dtype=np.int64).view(np.uint64)
+    return KeySet(out)
+
+
+QUERIES = "item_id long, query int, size int, keys array<long>, shingles array<long>, words string"
+
+
+def item_queries(items: DataFrame, run: int | None, threshold: float) -> DataFrame:
+    """(item_id, query, size, keys, shingles, words) of each item: its runs of ``run`` words, or the item itself if ``run`` is null.
+
+    Null ids and texts, and items too short, have none. Shingles are distinct.
+    """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for item, text in zip(batch["item_id"], batch["text"]):
                 words = words_of(text)
-                out += [(item, key, " ".join(words[i : i + run])) for i, key in enumerate(window_keys(words, run).tolist())]
-            yield pd.DataFrame(out, columns=["item_id", "key", "words"])
+                shingles = ordered_shingles(words, min(WIDTH, run or WIDTH))
+                if run:
+                    part = run_partition(run)
+                    pieces = [(i, part, i + run) for i in range(len(words) - run + 1)]
+                else:
+                    parts = item_partitions(threshold)
+                    most = SIZES[-1]
+                    pieces = [(i, next(p for p in parts if min(len(shingles) - i, most) <= p.size), i + most + WIDTH - 1) for i in range(0, len(shingles), most)]
+                for i, part, end in pieces:
+                    mine = shingles[i : i + (part.size if run else SIZES[-1])]
+                    out.append((item, i, part.size, query_keys(mine, part), np.unique(mine).view(np.int64), " ".join(words[i:end])))
+            yield pd.DataFrame(out, columns=["item_id", "query", "size", "keys", "shingles", "words"])
 
-    return items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").mapInPandas(each, "item_id long, key long, words string").distinct()
+    rows = items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates()
+    return rows.mapInPandas(each, QUERIES)
 
 
-def leaked_windows(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, item_id, words): the distinct runs of ``run`` words that a document shares with an item.
+SEGMENTS = "doc_id long, segment int, size int, keys array<long>, held array<long>, said string"
 
-    Words are ``\\w+`` of the lower-cased text, so case, punctuation and spacing play no part. Null ids and texts, and texts
-    under ``run`` words, share nothing; a document given twice counts once; documents are read whole; other columns play no part.
-    """
-    queries = item_windows(items, run)
-    docs = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    held = queries.limit(MAX_SHIPPED_WINDOWS + 1).toPandas()
-    if len(held) <= MAX_SHIPPED_WINDOWS:
-        keys = np.unique(held["key"].to_numpy(dtype=np.int64))
-        by_words: dict[str, list[int]] = {}
-        for item, words in zip(held["item_id"], held["words"]):
-            by_words.setdefault(words, []).append(int(item))
-        shipped = documents.sparkSession.sparkContext.broadcast((keys, by_words))
-
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            keys, by_words = shipped.value
-            for batch in batches:
-                out = set()
-                for doc, text in zip(batch["doc_id"], batch["text"]):
-                    words = words_of(text)
-                    mine = window_keys(words, run)
-                    if not len(mine) or not len(keys):
-                        continue
-                    at = np.searchsorted(keys, mine)
-                    at[at == len(keys)] = 0
-                    for i in np.flatnonzero(keys[at] == mine).tolist():
-                        found = " ".join(words[i : i + run])
-                        out.update((doc, item, found) for item in by_words.get(found, ()))
-                yield pd.DataFrame(list(out), columns=["doc_id", "item_id", "words"])
-
-        return docs.mapInPandas(search, "doc_id long, item_id long, words string").distinct()
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def kept_segments(documents: DataFrame, parts: tuple[Partition, ...], keys: KeySet, known: KeySet, run: int | None) -> DataFrame:
+    """(doc_id, segment, size, keys, held, said) of the segments that may hold a query: keys the items share, shingles and words."""
+    shipped = documents.sparkSession.sparkContext.broadcast((keys.bits, known.bits))
+    width = min(WIDTH, run or WIDTH)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, known = map(KeySet, shipped.value)
         for batch in batches:
-            ids, keys, texts = [], [], []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                words = words_of(text)
-                for i, key in enumerate(window_keys(words, run).tolist()):
-                    ids.append(doc)
-                    keys.append(key)
-                    texts.append(" ".join(words[i : i + run]))
-            yield frame(doc_id=ids, key=keys, words=texts)
+            texts = [words_of(t) for t in batch["text"]]
+            each = [ordered_shingles(w, width) for w in texts]
+            sizes = np.array([len(s) for s in each], dtype=np.int64)
+            first = np.concatenate([[0], np.cumsum(sizes)])
+            shingles = np.concatenate(each) if each else np.empty(0, dtype=np.uint64)
+            out = []
+            if len(shingles):
+                flags = np.concatenate([[0], np.cumsum(known.has(shingles.view(np.int64)))])
+                for part in parts:
+                    out += part_segments(part, shingles, sizes, first, flags, keys)
+            doc = batch["doc_id"].to_numpy()
+            rows = []
+            for d, block, size, found in out:
+                s, e = block * size, min((block + 2) * size, int(sizes[d]))
+                if run:
+                    more = repeat_keys(each[d][s:e], size)
+                    found = np.concatenate([found, more[keys.has(more)]])
+                if len(found):
+                    rows.append((doc[d], block, size, found, np.unique(each[d][s:e]).view(np.int64), " ".join(texts[d][s : e + width - 1])))
+            yield pd.DataFrame(rows, columns=["doc_id", "segment", "size", "keys", "held", "said"])
+
+    def part_segments(part: Partition, shingles, sizes, first, flags, keys: KeySet) -> list[tuple]:
+        u = part.size
+        n_blocks = -(-sizes // u)
+        owner = np.repeat(np.arange(len(sizes)), n_blocks)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
+        starts = first[owner] + number * u
+        minima = block_minima(shingles, starts, part.n_minima)
+        # A segment is a block and the next one of the same document; a document's last block stands alone only if it is the first.
+        paired = np.flatnonzero((number + 1 < n_blocks[owner]) | (number == 0))
+        follows = np.where(number[paired] + 1 < n_blocks[owner[paired]], paired + 1, paired)
+        lanes = lane_keys(np.minimum(minima[:, paired], minima[:, follows]), u)
+        hit = keys.has(lanes)
+        ends = np.minimum(starts[paired] + 2 * u, first[owner[paired] + 1])
+        known_here = flags[ends] - flags[starts[paired]]
+        need = u if run else max(1, math.ceil(part.threshold * part.least))
+        # Runs of few distinct shingles are looked for by their repeats, whatever the minima say.
+        kept = np.flatnonzero((known_here >= need) & (hit.any(axis=0) | bool(run)))
+        return [(int(owner[paired[k]]), int(number[paired[k]]), u, lanes[hit[:, k], k]) for k in kept.tolist()]
 
-    every = docs.mapInPandas(windows, "doc_id long, key long, words string")
-    return every.join(queries, ["key", "words"]).select("doc_id", "item_id", "words").distinct()
+    docs = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    return docs.mapInPandas(search, SEGMENTS)
+
+
+def contained(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD, run: int | None = None) -> DataFrame:
+    """(doc_id, item_id, query, n_shared, n_shingles) of the items' queries that a segment of a document contains.
+
+    With ``run`` a query is a run of so many words, found if they stand in the document one after the other; without, it is the item (in parts
+    of 256 shingles if longer), found if a segment holds ``threshold`` of its shingles; the segment that holds most counts. Words are
+    ``\\w+`` of the lower-cased text, so case, punctuation and spacing play no part. Null ids and texts, and texts too short, share
+    nothing; a document given twice counts once; documents are read whole; other columns play no part.
+    """
+    queries = item_queries(items, run, threshold)
+    index = queries.select("item_id", "query", "size", F.explode("keys").alias("key")).distinct()
+    keys = key_set(index, "key")
+    known = key_set(queries.select(F.explode("shingles").alias("shingle")), "shingle")
+    parts = (run_partition(run),) if run else item_partitions(threshold)
+    kept = kept_segments(documents, parts, keys, known, run).withColumn("key", F.explode("keys")).drop("keys")
+    met = kept.join(index, ["size", "key"]).drop("key").dropDuplicates(["doc_id", "segment", "size", "item_id", "query"])
+    both = met.join(queries.select("item_id", "query", "shingles", "words").dropDuplicates(["item_id", "query"]), ["item_id", "query"])
+    shared = F.size(F.array_intersect("held", "shingles"))
+    scored = both.select("doc_id", "item_id", "query", shared.alias("n_shared"), F.size("shingles").alias("n_shingles"), "said", "words")
+    if run:
+        blank = F.lit(" ")
+        right = scored.where(F.concat(blank, "said", blank).contains(F.concat(blank, "words", blank)))
+    else:
+        right = scored.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_shingles"))
+    return right.groupBy("doc_id", "item_id", "query").agg(F.max("n_shared").alias("n_shared"), F.max("n_shingles").alias("n_shingles"))
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     """(doc_id, item_id): documents with at least ``run`` consecutive words of an item, a row a pair."""
-    return leaked_windows(documents, items, run).select("doc_id", "item_id").distinct()
+    return contained(documents, items, 1.0, run).select("doc_id", "item_id").distinct()
 
 
-def leak_report(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
-    """(item_id, n_docs, max_containment, n_whole): per leaked item the documents that hold a part of it, the largest share of its
-    windows that one document holds, and the documents that hold all of them."""
-    size = item_windows(items, run).groupBy("item_id").agg(F.countDistinct("words").alias("size"))
-    pairs = leaked_windows(documents, items, run).groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
-    share = F.col("shared") / F.col("size")
-    return pairs.join(size, "item_id").groupBy("item_id").agg(
-        F.count("*").alias("n_docs"), F.round(F.max(share), 6).alias("max_containment"), F.sum((F.col("shared") == F.col("size")).cast("long")).alias("n_whole")
+def leak_report(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(item_id, n_docs, n_whole, max_containment): per item the documents that hold ``threshold`` of its shingles, edits or not, those that
+    hold all of them, and the largest share that one document holds. Items that no document holds have no row."""
+    found = contained(documents, items, threshold)
+    size = item_queries(items, None, threshold).groupBy("item_id").agg(F.sum(F.size("shingles")).alias("n"))
+    pairs = found.groupBy("doc_id", "item_id").agg(F.sum("n_shared").alias("held")).join(size, "item_id")
+    share = F.col("held") / F.col("n")
+    return pairs.where(share >= threshold).groupBy("item_id").agg(
+        F.count("*").alias("n_docs"), F.count_if(F.col("held") == F.col("n")).alias("n_whole"), F.round(F.max(share), 6).alias("max_containment")
     )
 
 

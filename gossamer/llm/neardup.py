@@ -58,8 +58,8 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def shingle_set(words: list[str], width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of all runs of ``width`` words; texts shorter than that have none."""
+def ordered_shingles(words: list[str], width: int) -> np.ndarray:
+    """64-bit hashes of all runs of ``width`` words in order; texts shorter than that have none."""
     n = len(words) - width + 1
     if n < 1:
         return np.empty(0, dtype=np.uint64)
@@ -68,7 +68,12 @@ def shingle_set(words: list[str], width: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         for k in range(width):
             out = _mix(out * _P1 + h[k : k + n] + _P3)
-    return np.unique(out)
+    return out
+
+
+def shingle_set(words: list[str], width: int) -> np.ndarray:
+    """``ordered_shingles``, sorted and distinct."""
+    return np.unique(ordered_shingles(words, width))
 
 
 def text_shingles(words: list[str], width: int) -> np.ndarray:
