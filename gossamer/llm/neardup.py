@@ -5,7 +5,9 @@
 3. Bands of ``ROWS`` minima are equi-joined; each candidate pair is verified on the signature (one byte a minimum). Buckets
    that a hot group fills are compared block by block instead, which gives links enough for the same components.
 4. Verified links form components by alternating large-star and small-star.
-5. Inside a component, blocks of at most ``BLOCK`` classes meet pairwise in one task; signatures first, then exact shingle sets.
+5. A component is cut into blocks of about ``BLOCK`` classes. Two blocks meet in one task only if a candidate pair of step 3 lies across
+   them, and of each block only the classes of such pairs come, so the work grows with the candidates and not with the square of a
+   component; the pairs of a meeting are verified on their signatures, then on their exact shingle sets.
 
 The probability that a pair of similarity s shares no band is (1 - s**ROWS)**BANDS: 1.5e-4 at 0.7, 5e-8 at 0.8.
 """
@@ -156,12 +158,13 @@ def _near_rows(sig: np.ndarray, mine: np.ndarray, i: int, least: float, crossing
     return near[mine[near] != mine[i]] if crossing else near
 
 
-def class_links(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): class pairs that share a band and agree on their signatures. ``classes``: cls, sig, keys, a row a class.
+def class_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, hot, stars) of ``classes`` (cls, sig, keys, a row a class).
 
-    Buckets of up to ``BIG`` classes give all their agreeing pairs. A larger bucket, however large, is cut into blocks that meet
-    pairwise; each meeting compares all its signatures, but gives only a star for each of its connected parts: the same components
-    come out, and neither a task's memory nor the edges of a meeting grow with the bucket.
+    ``pairs`` (a, b): class pairs that share a bucket of up to ``BIG`` classes and agree on their signatures. ``hot`` (band, cls): the rows of
+    larger buckets. ``stars`` (a, b): links of those. A hot bucket is cut into blocks that meet pairwise; each meeting compares all its
+    signatures, but gives only a star for each of its connected parts: the same components come out, and neither a task's memory nor
+    the edges of a meeting grow with the bucket. Its pairs are found by the meetings of ``candidate_meetings``.
     """
     banded = classes.select("cls", F.explode("keys").alias("band"))
     sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
@@ -176,57 +179,102 @@ def class_links(classes: DataFrame, threshold: float) -> DataFrame:
         crossing = group["lo"].iloc[0] != group["hi"].iloc[0]
         sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint8).reshape(-1, N_HASHES)
         mine, cls = group["mine"].to_numpy(), group["cls"].to_numpy()
-        root = list(range(len(group)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
+        root = Roots(len(group))
         for i in range(len(group) - 1):
             for j in _near_rows(sig, mine, i, threshold - SLACK, crossing).tolist():
-                x, y = find(i), find(j)
-                root[max(x, y)] = min(x, y)
-        out = [(int(cls[find(i)]), int(cls[i])) for i in range(len(group)) if find(i) != i]
+                root.join(i, j)
+        out = [(int(cls[root.of(i)]), int(cls[i])) for i in range(len(group)) if root.of(i) != i]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    hot = _blocked(shared.where(F.col("n") > BIG).join(sigs, "cls"), "band", "n")
-    return agreeing.unionAll(hot.groupBy("band", "lo", "hi").applyInPandas(stars, "a long, b long"))
+    hot = shared.where(F.col("n") > BIG)
+    return cut_lineage(agreeing), hot.select("band", "cls"), _blocked(hot.join(sigs, "cls"), "band", "n").groupBy("band", "lo", "hi").applyInPandas(stars, "a long, b long")
+
+
+class Roots:
+    """Union and find over the rows of one meeting."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def of(self, i: int) -> int:
+        root = self.root
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
 
+    def join(self, i: int, j: int) -> None:
+        x, y = self.of(i), self.of(j)
+        self.root[max(x, y)] = min(x, y)
 
-def verified_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the class pairs of a component whose exact similarity reaches the threshold.
 
-    ``sets``: component, cls, sig binary, shingles binary, a row a class. A component is cut into blocks by hash; each pair of
-    blocks is one group of at most a few times ``BLOCK`` classes, so no task's memory grows with the component.
+def candidate_meetings(components: DataFrame, pairs: DataFrame, hot: DataFrame) -> DataFrame:
+    """(component, lo, hi, cls, mine): which classes meet where, so that every candidate pair meets exactly once.
+
+    Classes are placed in blocks of their component by hash. A pair brings its two classes to the meeting of their blocks; a hot
+    bucket brings together whole blocks of a component that it has classes in, and those once, however many buckets they share.
     """
-    sized = sets.groupBy("component").agg(F.count("*").alias("n"))
-    spread = _blocked(sets.join(sized, "component"), "component", "n")
+    sized = components.groupBy("component").agg(F.count("*").alias("n"))
+    block = F.pmod(F.xxhash64("vertex"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    placed = cut_lineage(components.join(sized, "component").select(F.col("vertex").alias("cls"), "component", block.alias("mine")))
+    ends = pairs.join(placed.select(F.col("cls").alias("a"), "component", F.col("mine").alias("x")), "a").join(placed.select(F.col("cls").alias("b"), F.col("mine").alias("y")), "b")
+    lo, hi = F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")
+    both = F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("x").alias("mine")), F.struct(F.col("b").alias("cls"), F.col("y").alias("mine")))).alias("end")
+    by_pair = ends.select("component", lo, hi, both).select("component", "lo", "hi", "end.cls", "end.mine").distinct()
+    blocks = hot.join(placed, "cls").select("band", "component", "mine").distinct()
+    facing = blocks.withColumnRenamed("mine", "lo").join(blocks.withColumnRenamed("mine", "hi"), ["band", "component"]).where("lo <= hi").select("component", "lo", "hi").distinct()
+    sides = facing.select("component", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("mine"))
+    by_block = sides.join(placed, ["component", "mine"]).select("component", "lo", "hi", "cls", "mine")
+    return by_pair.unionByName(by_block).distinct()
+
+
+def _meeting_links(group: pd.DataFrame, threshold: float) -> Iterator[tuple[int, int, float]]:
+    """(i, j, jaccard) of the rows of a meeting, in order of cls, whose shingle sets reach the threshold; across its two blocks if it has two."""
+    sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint8).reshape(-1, N_HASHES)
+    sets = [np.frombuffer(s, dtype=np.uint64) for s in group["shingles"]]
+    mine, crossing = group["mine"].to_numpy(), group["lo"].iloc[0] != group["hi"].iloc[0]
+    for i in range(len(group) - 1):
+        x = sets[i]
+        for j in _near_rows(sig, mine, i, threshold - SLACK, crossing).tolist():
+            y = sets[j]
+            small, large = (x, y) if len(x) < len(y) else (y, x)
+            if len(small) < threshold * len(large):
+                continue
+            at = np.searchsorted(large, small)
+            at[at == len(large)] = 0
+            shared = int((large[at] == small).sum())
+            similarity = shared / (len(x) + len(y) - shared)
+            if similarity >= threshold:
+                yield i, j, similarity
+
+
+def verified_pairs(meetings: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard), a < b, of the class pairs in ``meetings`` (component, lo, hi, mine, cls, sig, shingles) that reach the threshold."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = group["lo"].iloc[0], group["hi"].iloc[0]
         group = group.sort_values("cls", ignore_index=True)
-        sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint8).reshape(-1, N_HASHES)
-        sets_ = [np.frombuffer(s, dtype=np.uint64) for s in group["shingles"]]
-        mine, cls = group["mine"].to_numpy(), group["cls"].to_numpy()
-        out = []
-        for i in range(len(group) - 1):
-            x = sets_[i]
-            for j in _near_rows(sig, mine, i, threshold - SLACK, lo != hi):
-                y = sets_[j]
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                if len(small) < threshold * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int((large[at] == small).sum())
-                similarity = both / (len(x) + len(y) - both)
-                if similarity >= threshold:
-                    out.append((int(cls[i]), int(cls[j]), similarity))
+        cls = group["cls"].tolist()
+        out = [(cls[i], cls[j], s) for i, j, s in _meeting_links(group, threshold)]
         return pd.DataFrame(out, columns=["a", "b", "jaccard"]).astype({"a": "int64", "b": "int64", "jaccard": "float64"})
 
-    return spread.groupBy("component", "lo", "hi").applyInPandas(run, "a long, b long, jaccard double")
+    return meetings.groupBy("component", "lo", "hi").applyInPandas(run, "a long, b long, jaccard double")
+
+
+def linked_classes(meetings: DataFrame, threshold: float) -> DataFrame:
+    """(cls, n_links, root): per meeting and class its verified links there, and the least class it is joined with there; no pairs."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("cls", ignore_index=True)
+        cls = group["cls"].tolist()
+        count, root = [0] * len(cls), Roots(len(cls))
+        for i, j, _ in _meeting_links(group, threshold):
+            count[i] += 1
+            count[j] += 1
+            root.join(i, j)
+        out = [(cls[i], n, cls[root.of(i)]) for i, n in enumerate(count) if n]
+        return pd.DataFrame(out, columns=["cls", "n_links", "root"]).astype("int64")
+
+    return meetings.groupBy("component", "lo", "hi").applyInPandas(run, "cls long, n_links long, root long")
 
 
 class NearDuplicates:
@@ -243,30 +291,37 @@ class NearDuplicates:
         self.members = sketched.select("key", "cls").distinct()
         #: One row a class: its name, its least key, its signature and band keys. Equal sets have equal sketches, so any will do.
         classes = sketched.groupBy("cls").agg(F.min("key").alias("rep"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
-        self.links = cut_lineage(class_links(classes, threshold))
-        self.components = cut_lineage(connected_components(self.links))
+        self.pairs, self.hot, stars = class_links(classes, threshold)
+        self.components = cut_lineage(connected_components(self.pairs.unionAll(stars)))
         self.classes = classes.drop("keys")
 
-    def class_pairs(self) -> DataFrame:
-        """(a, b, jaccard), a < b: the different classes that are near-duplicates, verified on their shingle sets."""
+    def meetings(self) -> DataFrame:
+        """(component, lo, hi, mine, cls, sig, shingles): ``candidate_meetings`` with the classes' sketches and sets."""
         width, read, inputs = self.width, self.read, self.inputs
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 sets = [text_shingles(words_of(read(*row)), width).tobytes() for row in zip(*[batch[c] for c in inputs])]
-                yield frame(component=batch["component"], cls=batch["cls"], sig=batch["sig"], shingles=sets)
+                yield frame(cls=batch["cls"], sig=batch["sig"], shingles=sets)
 
-        held = self.components.join(self.classes, self.components["vertex"] == self.classes["cls"]).select("component", "cls", "sig", F.col("rep").alias("key"))
+        held = self.components.join(self.classes, self.components["vertex"] == self.classes["cls"]).select("cls", "sig", F.col("rep").alias("key"))
         # A body stored twice comes twice; one of the two is enough.
         rows = held.join(self.texts, "key").dropDuplicates(["cls"])
-        return verified_pairs(rows.mapInPandas(run, "component long, cls long, sig binary, shingles binary"), self.threshold)
+        sets = rows.mapInPandas(run, "cls long, sig binary, shingles binary")
+        return candidate_meetings(self.components, self.pairs, self.hot).join(sets, "cls")
+
+    def class_pairs(self) -> DataFrame:
+        """(a, b, jaccard), a < b: the different classes that are near-duplicates, verified on their shingle sets."""
+        return verified_pairs(self.meetings(), self.threshold)
 
     def groups(self) -> DataFrame:
         """(key, cls, group_id, n_copies, n_links): per text its class, its group (the least class joined with it by verified
-        links), the texts with the same shingle set, and the classes it is linked to. A text like no other is its own group."""
-        pairs = cut_lineage(self.class_pairs())
-        parts = connected_components(pairs)
-        degree = pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
+        links), the texts with the same shingle set, and the classes it is linked to. A text like no other is its own group.
+
+        Links are counted where they are verified and joined there to stars, so no pair leaves its task."""
+        linked = cut_lineage(linked_classes(self.meetings(), self.threshold))
+        parts = connected_components(linked.select(F.col("cls").alias("a"), F.col("root").alias("b")))
+        degree = linked.groupBy("cls").agg(F.sum("n_links").alias("n_links"))
         copies = self.members.groupBy("cls").agg(F.count("*").alias("n_copies"))
         return (
             self.members.join(copies, "cls")

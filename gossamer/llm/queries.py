@@ -22,6 +22,11 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.body_groups(table(spark, d, "page_body")).withColumnRenamed("key", "content_hash")
 
 
+def p1_found_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The relation of ``p1_found`` in bounded form: a row a body with its class, group, copies and number of links."""
+    return neardup.body_duplicates(table(spark, d, "page_body")).groups().withColumnRenamed("key", "content_hash")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.stuffed_documents(table(spark, d, "document"), table(spark, d, "page_body"))
 
@@ -71,7 +76,7 @@ def p9_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_shape_groups, p3_found, p4_found, p4_wrong_answers, p5_found, p7_found, p7_report, p8_mixture, p8_shares, p9_found, p9_languages)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p1_found_groups, p2_found, p2_shape_groups, p3_found, p4_found, p4_wrong_answers, p5_found, p7_found, p7_report, p8_mixture, p8_shares, p9_found, p9_languages)}
 
 
 def oracle_sql() -> dict[str, str]:

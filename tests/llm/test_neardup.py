@@ -131,6 +131,27 @@ def test_hot_buckets_give_the_same_pairs(spark, monkeypatch):
     assert {tuple(r) for r in op.key_pairs().collect()} == brute(texts, 3, 0.7, 5)
 
 
+def test_a_chain_meets_only_along_its_links(spark, monkeypatch):
+    """A component that is a long chain: the meetings grow with its links, not with the square of its length."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = random.Random(21)
+    lines = [" ".join(f"c{rng.randint(0, 9999)}" for _ in range(6)) for _ in range(260)]
+    texts = {f"t{i:03}": " ".join(lines[i : i + 14]) for i in range(240)}
+    op = neardup.NearDuplicates(spark.createDataFrame(list(texts.items()), "key string, text string"), lambda t: t, ["text"], 3, 0.8, 5)
+    links = brute(texts, 3, 0.8, 5)
+    assert {tuple(r) for r in op.key_pairs().collect()} == links
+    blocks = 240 // 4
+    met = neardup.candidate_meetings(op.components, op.pairs, op.hot)
+    assert op.components.select("component").distinct().count() == 1
+    assert met.count() <= 2 * op.pairs.count() and met.select("lo", "hi").distinct().count() < blocks * blocks // 2
+    rows = {r["key"]: r for r in op.groups().collect()}
+    degree = defaultdict(int)
+    for a, b in links:
+        degree[a] += 1
+        degree[b] += 1
+    assert {k: r["n_links"] for k, r in rows.items()} == {k: degree[k] for k in texts} and len({r["group_id"] for r in rows.values()}) == 1
+
+
 def test_body_pairs_against_brute_force(spark, data):
     bodies = spark.read.parquet(f"{data}/page_body.parquet")
     texts = {r["content_hash"]: visible_text(page_text(r["body"], r["content_type"])) for r in bodies.where("lower(content_type) LIKE '%html%'").collect()}
