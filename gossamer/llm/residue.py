@@ -38,7 +38,8 @@ PLACEHOLDER = re.compile(
     r"|(?<!\S)\?\?(?!\S)"  # ?? km
     r"|(?<![\w%])%(?:s|d|\d\$s)(?!\w)"  # %s
 )
-_UNIT = r"(?:second|minute|hour|day|week|month|year|item|result|message|entr|point|page|seat|room|copie|euro|mile)\w*"
+_UNITS = ("second", "minute", "hour", "day", "week", "month", "year", "item", "result", "message", "entr", "point", "page", "seat", "room", "copie", "euro", "mile")
+_UNIT = rf"(?:{'|'.join(_UNITS)})\w*"
 #: Spots that a template filled with nothing or with a missing value, by what may not stand side by side around a gap.
 EMPTY_FILL = re.compile(
     r"\w[ \t]+[.,](?=\s|$)"  # a blank before a closing mark: "Dear , thank you", "write to ."
@@ -52,6 +53,12 @@ EMPTY_FILL = re.compile(
     r"|(?i:(?<!\w)(?:your|the) (?:\w+ )?(?:basket|cart|list|order|inbox|account|box) (?:holds|contains|has) " + _UNIT + r")"  # your basket holds _ items
     r"|(?<!\w)(?:undefined|NaN|\[object Object\])(?=[,.!\s]|$)(?! (?:is|means|was|value|variable|behaviou?r))"
 )
+#: Every gap of ``EMPTY_FILL`` holds one of these in lower case, "nan" apart; what holds none needs no search.
+GAP_HINTS = (
+    " ,", " .", "\t", "  ", "undefined", "[object", *(f"from {x}" for x in ("to", "un", "till", "by", "end", "start", "begin", "close", "expire")),
+    *(f"{x} {y}" for x in ("at", "until", "between") for y in ("or", "and")), *(f" {x} by" for x in ("in", "on", "at", "by")), *(f" {x} {y}" for x in ("on", "by", "at") for y in ("on", "at")),
+    *(f": {x}" for x in ("incl", "excl", "net", "plus", "inkl", "zzgl")), *(f"{x} {u}" for x in ("in", "after", "within", "holds", "contains", "has") for u in _UNITS),
+)
 DEFAULT_TITLE = re.compile(
     r"^\s*(?:null|undefined|None|NaN|(?i:untitled(?: (?:document|page|post))?|(?:new|sample|test|blank) page|(?:page|document) title|title|insert title(?: here)?)"
     r"|(?:null|undefined|None|NaN)\s*[|\-–:].*|.*[|\-–:]\s*(?:null|undefined))\s*$"
@@ -77,6 +84,13 @@ MESSAGE = re.compile(
     r"seite (?:existiert nicht|nicht gefunden|wurde nicht)|existiert nicht mehr|page (?:introuvable|demandée)|n'existe pas|página no encontrada|no hemos encontrado|pagina non trovata|página não encontrada|pagina niet gevonden|nie znaleziono|sidan (?:hittades|finns) inte|zugriff verweigert|accès refusé|acceso denegado",
     re.I | re.S,
 )
+#: Every message of ``MESSAGE`` holds one of these; what holds none needs no search.
+MESSAGE_HINTS = (
+    "found", "forbidden", "error", "unavailable", "denied", "gone", "too many", "not exist", "has ended", "no longer", "removed", "could not", "no results", "do not have permission",
+    "session has", "sign in again", "internal", "something ", "upstream", "gateway", "planned work", "maintenance", "be back", "refused", "warning: ", "traceback", "exception in", "errno",
+    "template aborted", "javascript", "script", "cookies", "checking your", "you are human", "confirm that", "too old", "just a moment", "existiert nicht", "nicht gefunden", "wurde nicht",
+    "introuvable", "demandée", "n'existe pas", "no encontrada", "no hemos", "non trovata", "não encontrada", "niet gevonden", "nie znaleziono", "sidan ", "verweigert", "refusé", "denegado",
+)
 TALK = re.compile(r"\b(?:templates?|placeholders?|syntax|braces?|escap\w+|variables?|expressions?|delimiters?|tokens?|markup|documentation|tutorial|example|dummy copy|calls its|snippet|renders?|prints)\b", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 #: A message stands instead of content if its sentences hold such a share of the own content's words, however long that is.
@@ -99,6 +113,9 @@ def residue_kind(page: Page, title: str | None) -> str | None:
     own = [(page.text[i], page.elem[i]) for i, mine in enumerate(page.label) if mine]
     coded = any(page.tag[e] in CODE_TAGS for _, e in own)
     words = latin = default = message = told = 0
+    low = "\n".join(text for text, _ in own).lower()
+    hinted = any(h in low for h in MESSAGE_HINTS)
+    gaps = any(h in low for h in GAP_HINTS) or any("NaN" in text for text, _ in own)
     for text, e in own:
         if page.tag[e] in CODE_TAGS:
             continue
@@ -114,7 +131,7 @@ def residue_kind(page: Page, title: str | None) -> str | None:
                 if coded and TALK.search(text[start : stop if stop > 0 else len(text)]):
                     continue
                 return PLACE
-        if EMPTY_FILL.search(text):
+        if gaps and EMPTY_FILL.search(text):
             return PLACE
         for sentence in _SENTENCE.split(text) if n > 1 else (text,):
             if DEFAULT_TEXT.match(sentence) is not None:
@@ -126,7 +143,7 @@ def residue_kind(page: Page, title: str | None) -> str | None:
             m = sentence.count(" ") + 1
             if m >= 4 and sentence[-1] in ".!?…":
                 told += m
-            if MESSAGE.search(sentence) is not None:
+            if hinted and MESSAGE.search(sentence) is not None:
                 message += m
             if m >= 2 and sum(1 for w in sentence.lower().split() if _LATIN.match(w)) >= 0.6 * m:
                 latin += m

@@ -277,7 +277,13 @@ def test_talk_about_residue_is_no_residue(model):
      "The voucher expires after days.", "Your cart contains items", "The list holds results", "undefined, welcome back"],
 )
 def test_empty_fills_of_other_wordings(text):
-    assert residue.EMPTY_FILL.search(text)
+    assert residue.EMPTY_FILL.search(text) and any(h in text.lower() for h in residue.GAP_HINTS)
+
+
+def test_hints_cover_the_messages():
+    """Whatever sentence of the pages at hand is a message holds a hint, and so does every literal start of the grammar."""
+    for text in ("Error 404: not found", "This page is gone", "No results for x", "Warning: foo() expects", "Errno 13", "JavaScript is disabled", "Your browser is too old", "Zugriff verweigert", "Sidan finns inte", "Something broke", "You are human, right?", "The upstream did not answer", "database error", "Bad gateway"):
+        assert residue.MESSAGE.search(text) is None or any(h in text.lower() for h in residue.MESSAGE_HINTS), text
 
 
 @pytest.mark.parametrize(
