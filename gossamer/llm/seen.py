@@ -4,8 +4,8 @@ A chain is a list of Bloom layers. A layer that reaches its fill threshold is cl
 rate, so the sum of all layers' rates stays under a bound that is known however far history grows. Keys are hashed to shards; a
 shard is one task's sorted stream through one chain, whose memory is bits, not keys.
 
-A hot key must not land in one shard with all its rows: the log is cut into blocks of bounded length, a block sends each key once
-(its first message), and the block's later messages with that key are repeats by that alone.
+A hot key must not land in one shard with all its rows: the log is cut into short blocks, a block sends each key once (its first
+message), and the block's later messages with that key are repeats by that alone. All other answers are the chain's.
 """
 
 from __future__ import annotations
@@ -20,12 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gossamer.functions.url import crawlable, normalize_url
+from gossamer.session import cut_lineage
 
 FIRST_CAPACITY = 1 << 14
 GROWTH = 4
 TIGHTENING = 0.5
 ERROR_RATE = 1e-3
-BLOCK = 1 << 16
+#: Ids of a block: short against the log, so that the chain gives most answers.
+BLOCK = 1 << 12
+#: Chains that a history is spread over. Kept chains name their number, whatever the session's settings are later.
+SHARDS = 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -131,15 +135,16 @@ def block_firsts(log: DataFrame) -> DataFrame:
     return grouped.select("key", F.element_at("ids", 1).alias("first"), F.slice("ids", 2, BLOCK).alias("later"))
 
 
-def chain_answers(firsts: DataFrame, shards: int, rate: float = ERROR_RATE, state: DataFrame | None = None, keep_state: bool = False) -> DataFrame:
+def chain_answers(firsts: DataFrame, shards: int = SHARDS, rate: float = ERROR_RATE, state: DataFrame | None = None, keep_state: bool = False) -> DataFrame:
     """(shard, key, first, seen, bound[, chain]) of every row of ``firsts`` (key, first) in order of ``first``.
 
-    ``state`` (shard, chain) goes on from chains kept earlier with the same number of shards; ``keep_state`` adds a row per shard
+    ``state`` (shard, chain) goes on from chains kept earlier, of which there must be ``shards``; ``keep_state`` adds a row per shard
     with a null key that holds the chain. A retried task replays its shard from the shuffle and gives the same answers.
     """
     rows = firsts.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), "key", "first", F.lit(None).cast("binary").alias("chain"))
     if state is not None:
-        rows = rows.unionAll(state.select("shard", F.lit(None).cast("long").alias("key"), F.lit(-(2**63)).cast("long").alias("first"), "chain"))
+        # The key of a chain's row must not be null: pandas would turn the batch's keys into floating point.
+        rows = rows.unionAll(state.select("shard", F.lit(0).cast("long").alias("key"), F.lit(-(2**63)).cast("long").alias("first"), "chain"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, chain = None, BloomChain(rate)
@@ -166,25 +171,34 @@ def chain_answers(firsts: DataFrame, shards: int, rate: float = ERROR_RATE, stat
     return ordered.mapInPandas(run, "shard int, key long, first long, seen boolean, bound double, chain binary")
 
 
-def shard_count(spark) -> int:
-    """As many shards as shuffle partitions: each shard's chain is one task's memory."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def kept_chains(messages: DataFrame, state: DataFrame | None = None, shards: int = SHARDS) -> DataFrame:
+    """(shard, shards, chain): the history after ``messages``, going on from ``state``, in bounded memory. A shard without keys has no row."""
+    firsts = block_firsts(keyed_log(messages)).select("key", "first")
+    shards = _shards_of(state, shards)
+    return chain_answers(firsts, shards, state=state, keep_state=True).where("chain IS NOT NULL").select("shard", F.lit(shards).alias("shards"), "chain")
+
+
+def _shards_of(state: DataFrame | None, shards: int) -> int:
+    held = state.agg(F.max("shards")).first()[0] if state is not None else None
+    return shards if held is None else int(held)
 
 
-def repeated_messages(messages: DataFrame) -> DataFrame:
+def repeated_messages(messages: DataFrame, state: DataFrame | None = None, shards: int = SHARDS) -> DataFrame:
     """(msg_id) of the messages whose normalized url a message with a smaller msg_id had.
 
     Null ids and urls, empty urls and urls that can't be crawled are never cases; a second delivery of a msg_id is no other message;
     late enqueued_at plays no part; an empty log gives no row. Within a block a later message with a key is a repeat for certain. A
-    block's first message of a key is asked of the chain; where the chain says seen, the keys in question are held against
-    their least msg_id, so a false positive of the chain (under ``ERROR_RATE`` of new keys) doesn't come out.
+    block's first message of a key is asked of the chain. Without ``state`` the keys that the chain calls seen are held against their
+    least msg_id, so a false positive of the chain (under ``ERROR_RATE`` of new keys) doesn't come out. With ``state``, the chains of
+    ``kept_chains`` over earlier messages whose keys are gone, the chain's answers come out as they are, wrong at most at its bound.
     """
     firsts = block_firsts(keyed_log(messages))
-    answers = chain_answers(firsts, shard_count(messages.sparkSession)).where("seen").select("key", "first")
-    asked = answers.select("key").distinct()
-    least = firsts.join(asked, "key", "left_semi").groupBy("key").agg(F.min("first").alias("least"))
-    confirmed = answers.join(least, "key").where("first > least").select(F.col("first").alias("msg_id"))
-    return firsts.select(F.explode("later").alias("msg_id")).unionAll(confirmed)
+    said = chain_answers(firsts, _shards_of(state, shards), state=state).where("seen").select("key", "first")
+    if state is None:
+        answers = cut_lineage(said)
+        least = firsts.join(answers.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("first").alias("least"))
+        said = answers.join(least, "key").where("first > least")
+    return firsts.select(F.explode("later").alias("msg_id")).unionAll(said.select(F.col("first").alias("msg_id")))
 
 
 def wrong_answer_rate(messages: DataFrame) -> DataFrame:
@@ -194,7 +208,7 @@ def wrong_answer_rate(messages: DataFrame) -> DataFrame:
     largest compounded bound a shard reached. No false negatives can occur. An empty log gives zeros and a null rate.
     """
     firsts = block_firsts(keyed_log(messages)).select("key", "first")
-    answers = chain_answers(firsts, shard_count(messages.sparkSession))
+    answers = chain_answers(firsts)
     per_key = answers.groupBy("key").agg(
         F.count("*").alias("n"), F.sum(F.col("seen").cast("long")).alias("said"), F.min_by("seen", "first").alias("wrong"), F.max("bound").alias("bound")
     )

@@ -92,3 +92,28 @@ def test_state_goes_on(spark):
     answers = {r["key"]: r["seen"] for r in seen.chain_answers(later, 4, state=kept).collect()}
     assert all(answers[k] for k in range(200, 400))
     assert sum(answers[k] for k in range(400, 600)) <= 2
+
+
+def test_a_log_goes_on_from_kept_chains(spark):
+    """The history's keys are gone; only its chains are at hand, whatever the session's partitions are now."""
+    earlier = log(spark, [(i, f"https://x.example/{i % 300}") for i in range(500)])
+    kept = seen.kept_chains(earlier, shards=8)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 3)
+    try:
+        later = log(spark, [(1000 + i, f"https://x.example/{200 + i}") for i in range(200)] + [(1500, "https://x.example/399")])
+        got = {r[0] for r in seen.repeated_messages(later, kept).collect()}
+        assert {1000 + i for i in range(100)} | {1500} <= got and len(got) <= 103
+        again = seen.kept_chains(later, kept)
+        assert again.select("shards").distinct().collect() == [(8,)]
+        assert seen.repeated_messages(log(spark, [(2000, "https://x.example/5"), (2001, "https://x.example/350"), (2002, "https://new.example/")]), again).count() == 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_the_chain_answers_most_repeats(spark):
+    rng = random.Random(3)
+    rows = [(i, f"https://x.example/{int(rng.paretovariate(0.6))}") for i in range(30_000)]
+    firsts = seen.block_firsts(seen.keyed_log(log(spark, rows)))
+    later, whole = firsts.agg(F.sum(F.size("later"))).first()[0], len(repeats(rows))
+    assert seen.chain_answers(firsts).where("seen").count() + later >= whole > later
