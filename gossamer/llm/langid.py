@@ -4,12 +4,15 @@ Of each language a suffix automaton of labelled text is built. A paragraph is pa
 automaton; the language that needs the fewest phrases a character wins. Paragraphs are parsed together: one transition table holds
 all automata, a matrix of states advances all paragraphs in all languages by one character a step.
 
-The labelled rows are a bounded sample (``SAMPLE_DOCS`` a language, by hash of the id), cleaned by cross-validation because labels
-lie: a paragraph stays only if automata built from the other half agree with its label.
+The labelled rows are a bounded sample (``SAMPLE_DOCS`` a language, by hash of the id, ``SAMPLE_CHARS`` of each), cleaned by
+cross-validation because labels lie: a paragraph stays only if automata built from the other half agree with its label.
+
+A text that needs more phrases a character than chance matches would give is in none of the languages and gets null.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +36,13 @@ SPELLINGS = {
     "sv": ("sv", "swe", "swedish"),
 }
 SAMPLE_DOCS = 80
+SAMPLE_CHARS = 4000
 TRAIN_CHARS = 20_000
+#: Texts are parsed side by side in pieces of so many characters; a phrase that a cut divides counts once.
 PIECE = 1024
+#: Most phrases a character against ``TRAIN_CHARS`` of training text, for a text to be in the language: matches of under three
+#: characters are chance. Shorter training text matches less, by the ratio of the logarithms.
+MOST_RATE = 0.35
 #: A paragraph in another language than its document must have so many letters and win by so much over the document's language.
 LEAST_LETTERS, LEAST_MARGIN = 40, 0.3
 _LIMIT = 0x250
@@ -110,18 +118,22 @@ class CrossParser:
             self.root[i] = start
             start += len(t)
             tables.append(t)
+        #: Per language the phrases a character beyond which a text isn't in it.
+        self.most = np.array([MOST_RATE * np.log(TRAIN_CHARS) / np.log(min(TRAIN_CHARS, max(100, len(training[x])))) for x in self.languages])
         self.table = np.concatenate(tables).ravel()
         self.entry = self.table.reshape(-1, _SIZE)[self.root].T.copy()  # alphabet × languages: moves from the roots
 
     def phrases(self, texts: list[str]) -> np.ndarray:
-        """(texts × languages) phrase counts. Texts longer than ``PIECE`` are parsed in pieces, an empty text has no phrase."""
+        """(texts × languages) phrase counts; an empty text has no phrase."""
         pieces: list[np.ndarray] = []
         owner: list[int] = []
+        opens: list[int] = []
         for i, text in enumerate(texts):
             codes = encode(text)
             for at in range(0, len(codes), PIECE):
                 pieces.append(codes[at : at + PIECE])
                 owner.append(i)
+                opens.append(at == 0)
         out = np.zeros((len(texts), len(self.languages)), dtype=np.int32)
         if not pieces:
             return out
@@ -134,7 +146,8 @@ class CrossParser:
             codes[: len(pieces[k]), row] = pieces[k]
         active = np.searchsorted(-lengths, -np.arange(1, width + 1), side="right")
         state = np.tile(self.root, (len(pieces), 1))
-        count = np.ones((len(pieces), len(self.languages)), dtype=np.int32)
+        # Each piece but a text's first goes on with the phrase that the cut divided.
+        count = np.repeat(np.array(opens, dtype=np.int32)[order][:, None], len(self.languages), axis=1)
         for t in range(width):
             n = active[t]
             c = codes[t, :n]
@@ -148,6 +161,18 @@ class CrossParser:
         return out
 
 
+    def strange(self, phrases: np.ndarray, best: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which texts of so many phrases and characters are in none of the languages."""
+        return phrases[np.arange(len(best)), best] > self.most[best] * sizes
+
+
+_NO_LETTER = re.compile(r"[\W\d_]+")
+
+
+def n_letters(text: str) -> int:
+    return len(_NO_LETTER.sub("", text))
+
+
 _parsers: dict[int, CrossParser] = {}
 
 
@@ -209,11 +234,18 @@ def clean_training(rows: pd.DataFrame, train_chars: int = TRAIN_CHARS) -> dict[s
 
 
 def training_texts(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, train_chars: int = TRAIN_CHARS) -> dict[str, str]:
-    """Cleaned training text a language, at most ``train_chars`` each, from at most ``sample_docs`` labelled documents a language."""
-    by_hash = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    """Cleaned training text a language, at most ``train_chars`` each, from at most ``sample_docs`` labelled documents a language.
+
+    Labels are counted first; texts move only for about four times the rows that the sample takes, however many have a label.
+    """
     labelled = documents.select("doc_id", "text", label_language(F.col("lang")).alias("label")).where("label IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    # At most sample_docs rows a language reach the driver; each is cut to 4,000 characters for training only.
-    rows = labelled.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= sample_docs).select("label", F.substring("text", 1, 4000).alias("text"), "rank").toPandas()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    near = F.lit(False)
+    for label, n in counts.items():
+        near = near | ((F.col("label") == label) & (place < int(min(1.0, 4 * sample_docs / n) * (1 << 32))))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(place, "doc_id"))
+    rows = labelled.where(near).withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("label", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "rank").toPandas()
     return clean_training(rows, train_chars)
 
 
@@ -223,8 +255,8 @@ def language_rows(documents: DataFrame, training: dict[str, str]) -> DataFrame:
     A document's language is that of most characters of its paragraphs, paragraph by paragraph. Confidence: by how much the winner
     undercuts the runner-up's phrases, 0 to 1; a document's is the mean of its paragraphs, weighted by length. A paragraph of
     under ``LEAST_LETTERS`` letters, or that beats its document's language by less than ``LEAST_MARGIN``, has the document's
-    language. Null, empty and letterless texts, and all texts if ``training`` is empty, get language null and confidence 0.
-    Texts are read whole.
+    language. A paragraph in none of the languages has null, and so has a document most of whose letters stand in such. Null, empty and
+    letterless texts, and all texts if ``training`` is empty, get language null and confidence 0. Texts are read whole.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,10 +265,11 @@ def language_rows(documents: DataFrame, training: dict[str, str]) -> DataFrame:
             ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
             paragraphs = [[] if t is None else t.split("\n\n") for t in texts]
             flat = [p for ps in paragraphs for p in ps]
-            letters = np.array([sum(map(str.isalpha, p[:64])) if len(p) < 64 else 64 for p in flat], dtype=np.int64)
+            letters = np.array([n_letters(p) for p in flat], dtype=np.int64)
             sizes = np.array([len(p) for p in flat], dtype=np.float64)
             phrases = parser.phrases(flat).astype(np.float64) if parser and flat else np.zeros((len(flat), 1))
             best = phrases.argmin(axis=1) if len(flat) else np.zeros(0, dtype=np.int64)
+            foreign = parser.strange(phrases, best, sizes) if parser and flat else np.zeros(len(flat), dtype=bool)
             doc_id, para_no, lang, confidence, labels, doc_lang = [], [], [], [], [], []
             at = 0
 
@@ -251,29 +284,96 @@ def language_rows(documents: DataFrame, training: dict[str, str]) -> DataFrame:
             for doc, label, ps in zip(ids, batch["lang"], paragraphs):
                 span = slice(at, at + len(ps))
                 at += len(ps)
-                own, p, size = best[span], phrases[span], sizes[span]
+                own, p, size, strange = best[span], phrases[span], sizes[span], foreign[span]
                 usable = letters[span] >= LEAST_LETTERS
                 if not parser or not size.sum() or not letters[span].any():
                     add(0, None, 0.0, None)
                     continue
                 weigh = size * usable if usable.any() else size
-                share = np.bincount(own, weights=weigh, minlength=p.shape[1])
+                share = np.bincount(own, weights=weigh * ~strange, minlength=p.shape[1])
+                if (weigh * strange).sum() > share.sum():
+                    add(0, None, 0.0, None)
+                    continue
                 top = np.flatnonzero(share == share.max())
                 main = int(top[0] if len(top) == 1 else top[p[:, top].sum(axis=0).argmin()])
                 second = np.partition(p, 1, axis=1)[:, 1] if p.shape[1] > 1 else p[:, 0] + 1
                 sure = 1 - p[np.arange(len(ps)), own] / np.maximum(second, 1)
-                differs = usable & (own != main) & (p[np.arange(len(ps)), own] <= (1 - LEAST_MARGIN) * p[:, main])
+                differs = usable & ~strange & (own != main) & (p[np.arange(len(ps)), own] <= (1 - LEAST_MARGIN) * p[:, main])
                 whole = parser.languages[main]
                 add(0, whole, (sure * size).sum() / size.sum(), whole)
                 for i in range(len(ps)):
                     if ps[i].strip():
-                        add(i + 1, parser.languages[own[i] if differs[i] else main], sure[i], whole)
+                        if usable[i] and strange[i]:
+                            add(i + 1, None, 0.0, whole)
+                        else:
+                            add(i + 1, parser.languages[own[i] if differs[i] else main], sure[i], whole)
             yield frame(doc_id=doc_id, para_no=para_no, lang=lang, confidence=confidence, label=labels, doc_lang=doc_lang)
 
     schema = "doc_id long, para_no int, lang string, confidence double, label string, doc_lang string"
     return documents.select("doc_id", "text", "lang").where("doc_id IS NOT NULL").mapInPandas(run, schema)
 
 
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+")
+
+
+def language_segments(documents: DataFrame, training: dict[str, str]) -> DataFrame:
+    """(doc_id, para_no, seg_no, lang, confidence, text): the segments of one language of every paragraph, both numbered from 1.
+
+    A paragraph is cut into sentences; a sentence of at least ``LEAST_LETTERS`` letters that beats its paragraph's language by ``LEAST_MARGIN`` has its
+    own, all others the paragraph's; neighbours of one language are one segment. A paragraph's language is that of most characters of
+    its sentences. Language null as in ``language_rows``; blank paragraphs have no segment; null texts neither.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parser = parser_of(training) if training else None
+        for batch in batches:
+            units = [(doc, k + 1, s) for doc, text in zip(batch["doc_id"], batch["text"]) for k, p in enumerate(text.split("\n\n")) for s in _SENTENCE.split(p.strip()) if s]
+            flat = [s for _, _, s in units]
+            sizes = np.array([len(s) for s in flat], dtype=np.float64)
+            letters = np.array([n_letters(s) for s in flat], dtype=np.int64)
+            phrases = parser.phrases(flat).astype(np.float64) if parser and flat else np.zeros((len(flat), 1))
+            best = phrases.argmin(axis=1) if flat else np.zeros(0, dtype=np.int64)
+            strange = parser.strange(phrases, best, sizes) if parser and flat else np.ones(len(flat), dtype=bool)
+            rows: list[list] = []
+            at = 0
+            while at < len(units):
+                to = at
+                while to < len(units) and units[to][:2] == units[at][:2]:
+                    to += 1
+                p, own, size = phrases[at:to], best[at:to], sizes[at:to]
+                told = ~strange[at:to] & (letters[at:to] > 0)
+                share = np.bincount(own, weights=size * told, minlength=p.shape[1])
+                main = int(share.argmax()) if told.any() else -1
+                second = np.partition(p, 1, axis=1)[:, 1] if p.shape[1] > 1 else p[:, 0] + 1
+                for i in range(to - at):
+                    long = letters[at + i] >= LEAST_LETTERS
+                    if long and not told[i] or main < 0:
+                        k = -1
+                    else:
+                        k = int(own[i]) if long and p[i, own[i]] <= (1 - LEAST_MARGIN) * p[i, main] else main
+                    sure = 0.0 if k < 0 else max(0.0, float(1 - p[i, k] / max(second[i], 1))) if k == own[i] else 0.0
+                    if i and rows[-1][3] == k:
+                        last = rows[-1]
+                        last[4] = (last[4] * last[6] + sure * size[i]) / (last[6] + size[i])
+                        last[5] += " " + flat[at + i]
+                        last[6] += size[i]
+                    else:
+                        rows.append([*units[at][:2], 1 if not i else rows[-1][2] + 1, k, sure, flat[at + i], size[i]])
+                at = to
+            out = [(d, n, k, None if x < 0 else parser.languages[x], float(c), t) for d, n, k, x, c, t, _ in rows]
+            yield pd.DataFrame(out, columns=["doc_id", "para_no", "seg_no", "lang", "confidence", "text"])
+
+    rows = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    return rows.mapInPandas(run, "doc_id long, para_no int, seg_no int, lang string, confidence double, text string")
+
+
+def mixed_segments(documents: DataFrame) -> DataFrame:
+    """(doc_id, para_no, seg_no, lang, confidence, n_chars) of the segments of paragraphs that mix languages."""
+    rows = language_segments(documents, training_texts(documents))
+    mixed = F.max("seg_no").over(Window.partitionBy("doc_id", "para_no")) > 1
+    return rows.select("doc_id", "para_no", "seg_no", "lang", "confidence", F.length("text").alias("n_chars"), mixed.alias("mixed")).where("mixed").drop("mixed")
+
+
 def corrected_labels(documents: DataFrame) -> DataFrame:
     """(doc_id, para_no, lang): para_no 0 for documents whose label is missing, names no language or another than most of the text is in;
     from 1 for paragraphs in another language than their document. Documents without a recognisable language have no row."""

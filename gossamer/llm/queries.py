@@ -75,8 +75,12 @@ def p9_languages(spark: SparkSession, d: str) -> DataFrame:
     return langid.language_report(table(spark, d, "documents"))
 
 
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    return langid.mixed_segments(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p1_found_groups, p2_found, p2_shape_groups, p3_found, p4_found, p4_wrong_answers, p5_found, p7_found, p7_report, p8_mixture, p8_shares, p9_found, p9_languages)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p1_found_groups, p2_found, p2_shape_groups, p3_found, p4_found, p4_wrong_answers, p5_found, p7_found, p7_report, p8_mixture, p8_shares, p9_found, p9_languages, p9_segments)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -167,6 +167,7 @@ def longest_matches(text, training):
                 n = 1
             at += n
             count += 1
+        count -= start > 0
     return count
 
 
@@ -237,3 +238,37 @@ def test_clean_training_drops_wrong_labels():
     clean = langid.clean_training(pd.DataFrame(rows, columns=["label", "text", "rank"]))
     assert not set("vwxyz") & set(clean["de"]) and len(clean["en"]) > 1000
     assert np.isfinite(len(clean["de"]))
+
+
+TRAINING = {
+    "en": "The old bridge leads across the small brook near the village and nobody knows why. People walk over it in the morning and come back in the evening when the lamps are lit. " * 12,
+    "de": "Die alte Brücke führt über den kleinen Bach beim Dorf und niemand weiß, warum das so ist. Morgens gehen die Leute hinüber und kommen abends zurück, wenn die Lampen brennen. " * 12,
+}
+
+
+def test_other_languages_and_no_letters_get_null(spark):
+    greek = "Η παλιά γέφυρα οδηγεί πάνω από το μικρό ρυάκι κοντά στο χωριό και κανείς δεν ξέρει γιατί. "
+    english = TRAINING["en"][:170]
+    rows = [(1, greek * 2, "el"), (2, "9" * 90, None), (3, "$%& " * 40, None), (4, f"{english}\n\n{greek}", "en"), (5, f"{greek}\n\n{greek}\n\n{english}", "en"), (6, "旧桥横跨村庄附近的小溪，没有人知道它为什么还在那里，但是每个人都走过它，每天早上和晚上都会有人从桥上走过。", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {(r["doc_id"], r["para_no"]): (r["lang"], r["confidence"]) for r in langid.language_rows(df, TRAINING).collect()}
+    assert [got[k, 0] for k in (1, 2, 3, 5, 6)] == [(None, 0.0)] * 5
+    assert got[4, 0][0] == "en" and got[4, 1][0] == "en" and got[4, 2] == (None, 0.0)
+
+
+def test_segments_within_a_paragraph(spark):
+    en = ["The old bridge leads across the small brook near the village and nobody knows why.", "People walk over it in the morning and come back in the evening."]
+    de = "Morgens gehen die Leute hinüber und kommen abends zurück, wenn die Lampen brennen."
+    rows = [(1, f"{en[0]} {en[1]} {de} {en[0]}\n\n{de}"), (2, " ".join(en)), (3, None), (None, de), (4, ""), (5, "Ok. Ja.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("x"))
+    got = {(r["doc_id"], r["para_no"], r["seg_no"]): (r["lang"], r["text"]) for r in langid.language_segments(df, TRAINING).collect()}
+    assert got[1, 1, 1] == ("en", " ".join(en)) and got[1, 1, 2] == ("de", de) and got[1, 1, 3] == ("en", en[0]) and got[1, 2, 1] == ("de", de)
+    assert got[2, 1, 1][0] == "en" and (2, 1, 2) not in got and {k[0] for k in got} == {1, 2, 5}
+    assert langid.language_segments(df, {}).where("lang IS NOT NULL").count() == 0
+
+
+def test_long_paragraphs_need_no_more_phrases():
+    """A cut text counts a divided phrase once."""
+    text = TRAINING["en"][: 3 * langid.PIECE]
+    parser = langid.CrossParser({"en": text})
+    assert parser.phrases([text])[0, 0] == 1
