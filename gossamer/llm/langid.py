@@ -185,6 +185,16 @@ def parser_of(training: dict[str, str]) -> CrossParser:
     return _parsers[key]
 
 
+def text_languages(parser: CrossParser | None, texts: list[str]) -> list[str | None]:
+    """The language of each text as a whole; null for texts without letters and those in none of the languages."""
+    if parser is None or not texts:
+        return [None] * len(texts)
+    phrases = parser.phrases(texts).astype(np.float64)
+    best = phrases.argmin(axis=1)
+    strange = parser.strange(phrases, best, np.array([len(t) for t in texts], dtype=np.float64))
+    return [None if bad or not n_letters(t) else parser.languages[b] for t, b, bad in zip(texts, best, strange)]
+
+
 def label_language(label: Column) -> Column:
     """Two-letter code that a label names in any case, with any region, in two or three letters or in English; else null."""
     stem = F.regexp_extract(F.lower(F.trim(label)), "^([a-z]+)", 1)

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gossamer.llm import langid, leakage, mixing
+from gossamer.llm import langid, leakage, mixing, topics
 
 
 # Leakage
@@ -142,13 +142,51 @@ def test_mixture(mixed):
 
 def test_shares_are_reported(mixed, spark):
     docs, targets = mixed
-    got = {r["source"]: r for r in mixing.mixture_shares(docs, targets).collect()}
-    assert sum(r["actual_share"] for r in got.values()) == pytest.approx(1.0)
+    rows = mixing.mixture_shares(docs, targets).collect()
+    got = {r["category"]: r for r in rows if r["margin"] == "source"}
+    for margin in ("source", "language", "topic"):
+        assert sum(r["actual_share"] for r in rows if r["margin"] == margin) == pytest.approx(1.0)
+        assert sum(r["target_share"] for r in rows if r["margin"] == margin) == pytest.approx(1.0)
     assert got["web"]["most_copies"] == 1
     none = mixing.mixture_shares(docs.limit(0), targets).collect()
     assert {r["n_tokens"] for r in none} == {0} and len(none) == 3
 
 
+def test_a_copy_in_a_target_source_keeps_its_text(spark):
+    docs = spark.createDataFrame([(1, "same words here", "en", None), (2, "same words here", "en", "web"), (3, "same words here", "en", "web"), (4, "other words there", "en", "none such")], "doc_id long, text string, lang string, source string")
+    targets = spark.createDataFrame([("web", 1.0, 2)], "source string, target_share double, max_repeats int")
+    assert [(r["doc_id"], r["copies"]) for r in mixing.mixture(docs, targets).collect()] == [(2, 2)]
+
+
+def test_margins_are_raked_to_what_is_asked():
+    cells = pd.DataFrame([(s, x, t, 100.0) for s in "ab" for x in ("de", "en") for t in ("t0", "t1")], columns=["source", "language", "topic", "tokens"])
+    targets = pd.DataFrame([("a", 0.5, 4), ("b", 0.5, 4)], columns=["source", "target_share", "max_repeats"])
+    got = mixing.cell_weights(cells, targets, margins={"language": {"de": 0.45, "en": 0.55}})
+    mass = (got["weight"] * got["tokens"]).groupby(got["language"]).sum()
+    assert mass["de"] / mass.sum() == pytest.approx(0.5, abs=0.06)  # the caps leave no room: all are used four times
+    loose = targets.assign(max_repeats=[4, 40])
+    got = mixing.cell_weights(cells, loose, margins={"language": {"de": 0.45, "en": 0.55}})
+    assert mixing.margin_targets(cells, "language").to_dict() == {"de": 0.5, "en": 0.5} and len(got) == 8
+
+
+def test_topics_are_found_apart_from_the_language():
+    rng = random.Random(4)
+    fields = {"bread": "dough crust oven flour loaf rye malt crumb", "boats": "mast keel rudder anchor harbour tide mooring sail"}
+    common = {"en": "this that with from have were their about", "nl": "deze voor niet naar heeft werden hun over"}
+    texts, spoken, field = [], [], []
+    for i in range(240):
+        f, x = rng.choice(list(fields)), rng.choice(list(common))
+        # Each field has words of its own in either language.
+        words = [w + ("en" if x == "nl" else "") if rng.random() < 0.5 else w for w in rng.choices(fields[f].split(), k=12)] + rng.choices(common[x].split(), k=20)
+        rng.shuffle(words)
+        texts.append(" ".join(words)), spoken.append(x), field.append(f)
+    model = topics.fit_topics(texts, spoken, 2)
+    named = [model.topic_of(t, x) for t, x in zip(texts, spoken)]
+    pairs = {(n, f): sum(a == n and b == f for a, b in zip(named, field)) for n in set(named) for f in fields}
+    assert len(set(named)) == 2 and sum(sorted(pairs.values())[-2:]) >= 0.9 * len(texts)
+    assert model.topic_of("", "en") == model.topic_of("a b c", None) == "other" and topics.fit_topics([], []).topic_of("dough", None) == "other"
+
+
 # Languages
 
 
