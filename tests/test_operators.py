@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gossamer.functions.text import signed64
+from gossamer.functions.hashing import optimal_bits
 from gossamer.operators import analytics, bloom, dedup, graph, pipeline, sharding, skew, writes
 
 DOC = """id long, url string, registered_domain string, http_status int, content_type string, content_length int, title string, content_hash string, simhash long, storage_key string,
@@ -229,3 +230,72 @@ def test_records_and_children(spark):
     parents = spark.createDataFrame([("http://h/", 0, True)], "url string, depth int, expand boolean")
     assert {(r["url"], r["depth"]) for r in pipeline.children(links, parents, 1).collect()} == {("http://h/b", 1), ("http://h/c", 1)}
     assert pipeline.children(links, parents, 0).count() == 0
+
+
+def test_only_heavy_keys_are_salted(spark):
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"), F.col("id").alias("v")).repartition(5)
+    found = skew.heavy_hashes(df, ["k"], 1 / 128)
+    hot = df.where("k = 'hot'").select(F.xxhash64("k")).first()[0]
+    assert hot in found and len(found) <= 128
+    got = {r["k"]: (r["n"], r["s"]) for r in skew.salted_aggregate(df, ["k"], {"n": ("count", F.lit(1)), "s": ("sum", F.col("v"))}).where("n > 1").collect()}
+    assert got == {"hot": (3000, sum(range(0, 9000, 3)))}
+    spread = df.where(F.xxhash64("k").isin(found)).groupBy(F.floor(F.rand(17) * 64)).count()
+    assert spread.count() == 64 and spread.agg(F.max("count")).first()[0] < 200
+
+
+def test_filters_are_sized_by_their_keys(spark, monkeypatch):
+    seen = spark.range(5000).select(F.concat(F.lit("https://x/"), "id").alias("url"))
+    assert bloom.build_bloom(seen, "url").m > optimal_bits(4800, 0.01)
+    new = spark.range(4000, 9000).select(F.concat(F.lit("https://x/"), "id").alias("url"), F.col("id"))
+    rows = {r["id"] for r in bloom.unseen_rows(new, "url", seen).collect()}
+    assert min(rows) >= 5000 and len(rows) > 3900
+    monkeypatch.setattr(bloom, "MAX_BITS", 64)
+    assert bloom.unseen_rows(new, "url", seen).count() == 4000
+
+
+def test_a_long_chain_of_fingerprints(spark):
+    """Leaders alternate along a chain in which each is near the next alone, so many rounds are needed."""
+    values, fp = [], 0
+    for i in range(20):
+        values.append((i, fp))
+        fp ^= 0b11 << (2 * i)
+    df = spark.createDataFrame(values, "id long, fp long")
+    leaders: list[int] = []
+    want = {}
+    for i, f in values:
+        want[i] = any((f ^ g).bit_count() <= 3 for g in leaders)
+        if not want[i]:
+            leaders.append(f)
+    assert {r["id"]: r["duplicate"] for r in dedup.greedy_leaders(df).collect()} == want
+
+
+def test_a_cluster_must_name_its_folder(monkeypatch):
+    from gossamer import session
+
+    class Context:
+        master = "spark://far:7077"
+
+        def getConf(self):
+            return self
+
+        def get(self, *_):
+            return None
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Context()
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Session())
+
+
+def test_the_core_loads_without_the_llm_libraries():
+    """An import that only the llm subpackage needs may be missing."""
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert 'u1_normalize_url' in q and 'p1_found' not in q and e.oracle_sql()"
+    root = str(__import__("pathlib").Path(__file__).parents[1])
+    assert subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=root).returncode == 0
