@@ -65,7 +65,7 @@ def murmur3(texts: pd.Series) -> pd.Series:
 
 def optimal_bits(items: int, rate: float) -> int:
     """Bits of a Bloom filter for so many items at a false-positive rate."""
-    return max(1, math.ceil(-items * math.log(rate) / math.log(2) ** 2))
+    return max(8, math.ceil(-items * math.log(rate) / math.log(2) ** 2))
 
 
 def optimal_hashes(bits: int, items: int) -> int:
@@ -74,7 +74,7 @@ def optimal_hashes(bits: int, items: int) -> int:
 
 
 def optimal_bits_col(items: Column, rate: Column) -> Column:
-    return F.greatest(F.lit(1), F.ceil(-items * F.log(rate) / F.lit(math.log(2) ** 2))).cast("long")
+    return F.greatest(F.lit(8), F.ceil(-items * F.log(rate) / F.lit(math.log(2) ** 2))).cast("long")
 
 
 def optimal_hashes_col(bits: Column, items: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import urljoin, urlsplit
+from urllib.parse import quote, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,10 +19,10 @@ TRACKING = (
 SKIPPED_PREFIXES = ("javascript:", "mailto:", "tel:", "data:", "#")
 # What counts as a blank around a URL, by Unicode.
 BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-# Public suffixes of more than one label that this library knows; other names end in their last label. No list ships with the
-# environment, so reserved and unlisted endings fall back to the host.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "co.jp", "com.br", "co.in", "co.nz", "co.za")
-ONE_LABEL_SUFFIXES = ("com", "org", "net", "edu", "gov", "io", "dev", "info", "de", "fr", "it", "nl", "pl", "pt", "se", "es", "uk", "eu", "us", "in")
+# Public suffixes by rule, as no list ships with the environment: a country code of two letters, one of these labels before a country code,
+# or one of these endings. Names under other endings (reserved and internal ones too) are their own.
+SECOND_LABELS = ("ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "govt", "id", "ltd", "ne", "net", "nhs", "nom", "or", "org", "plc", "police", "sch")
+ENDINGS = ("aero", "app", "biz", "cat", "cloud", "com", "coop", "dev", "edu", "gov", "info", "int", "jobs", "mil", "mobi", "museum", "name", "net", "online", "org", "page", "pro", "shop", "site", "tel", "travel", "xyz")
 
 
 def upper_escapes(text: Column) -> Column:
@@ -48,12 +48,23 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def normalize_url(url: Column, first_of_equal_names: bool = False) -> Column:
+#: What a canonical URL holds as it is; anything else is percent-encoded.
+UNSAFE = r"""[^!-~]|["<>\\^`{|}]"""
+
+
+def encode_unsafe(text: Column) -> Column:
+    """Characters that a URL may not hold as percent escapes of their UTF-8 bytes; other text passes untouched."""
+    coded = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c.rlike(UNSAFE), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c))
+    return F.when(text.rlike(UNSAFE), F.array_join(coded, "")).otherwise(text)
+
+
+def normalize_url(url: Column, first_of_equal_names: bool = False, encoded: bool = False) -> Column:
     """The form under which spellings of one URL are equal, as a native column; null if the URL can't be crawled.
 
     Blanks around it go; only http and https with a host stay; scheme and host are lower case; fragment and tracking
     parameters go; the other parameters are sorted by name, then value; percent escapes are upper case; an empty path is "/".
-    ``first_of_equal_names`` keeps only the first of several parameters with one name. Null and empty give null.
+    ``first_of_equal_names`` keeps only the first of several parameters with one name; ``encoded`` percent-encodes what a URL may not
+    hold. Null and empty give null.
     """
 
     def rebuilt(s: Column) -> Column:
@@ -81,7 +92,8 @@ def normalize_url(url: Column, first_of_equal_names: bool = False) -> Column:
         joined = F.concat_ws("&", F.transform(F.sort_array(kept), lambda p: p["pair"]))
         return _let(joined, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
 
-    return _let(upper_escapes(F.btrim(url, F.lit(BLANKS))), rebuilt)
+    trimmed = F.btrim(url, F.lit(BLANKS))
+    return _let(upper_escapes(encode_unsafe(trimmed) if encoded else trimmed), rebuilt)
 
 
 def host_of(url: Column) -> Column:
@@ -92,14 +104,15 @@ def host_of(url: Column) -> Column:
 
 
 def registered_domain_of_host(host: Column) -> Column:
-    """Registrable name of a host: the label before a known suffix, with it; an address or an unknown ending keeps the host."""
+    """Registrable name of a host: the label before a public suffix, with it; an address or an unknown ending keeps the host."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
+    country = F.get(labels, n - 1).rlike("^[a-z]{2}$")
     tail = lambda k: F.array_join(F.slice(labels, F.greatest(F.lit(1), n - k + 1), F.lit(k)), ".")
     return (
         F.when(host.rlike(r"^[0-9.]+$|:"), host)
-        .when((n >= 3) & tail(2).isin(*TWO_LABEL_SUFFIXES), tail(3))
-        .when((n >= 2) & F.element_at(labels, -1).isin(*ONE_LABEL_SUFFIXES) & ~tail(2).isin(*TWO_LABEL_SUFFIXES), tail(2))
+        .when(country & (n >= 2) & F.get(labels, n - 2).isin(*SECOND_LABELS), F.when(n >= 3, tail(3)).otherwise(host))
+        .when((n >= 2) & (country | F.get(labels, n - 1).isin(*ENDINGS)), tail(2))
         .otherwise(host)
     )
 
@@ -115,6 +128,7 @@ def origin_of(url: Column) -> Column:
 
 
 _ESCAPE = re.compile("%[0-9a-fA-F]{2}")
+_SAFE = "".join(c for c in map(chr, range(33, 127)) if not re.match(UNSAFE, c))
 
 
 def normalize_href(href: str | None, base: str | None = None) -> str | None:
@@ -139,7 +153,7 @@ def normalize_href(href: str | None, base: str | None = None) -> str | None:
     user, at, bare = parts.netloc.rpartition("@")
     query = "&".join(kept[name] for name in sorted(kept))
     out = f"{parts.scheme}://{user}{at}{bare.lower()}{parts.path or '/'}{'?' + query if query else ''}"
-    return _ESCAPE.sub(lambda m: m[0].upper(), out)
+    return _ESCAPE.sub(lambda m: m[0].upper(), quote(out, safe=_SAFE))
 
 
 @F.pandas_udf(T.StringType())
@@ -148,10 +162,12 @@ def normalize_hrefs(hrefs: pd.Series, bases: pd.Series) -> pd.Series:
     return pd.Series([normalize_href(h, b) for h, b in zip(hrefs, bases)], dtype=object)
 
 
-def duckdb_normalized(url: str, first_of_equal_names: bool = False) -> str:
+def duckdb_normalized(url: str, first_of_equal_names: bool = False, encoded: bool = False) -> str:
     """The SQL twin of ``normalize_url``: an expression over the column ``url`` for an engine with list lambdas."""
     names = ", ".join(f"'{t}'" for t in TRACKING)
     s = f"trim({url}, '{BLANKS}')"
+    if encoded:
+        s = f"array_to_string(list_transform(regexp_extract_all({s}, '(?s).'), lambda c: CASE WHEN regexp_matches(c, '{UNSAFE}') THEN regexp_replace(hex(encode(c)), '(..)', '%\\1', 'g') ELSE c END), '')"
     s = (
         f"array_to_string(list_transform(string_split({s}, '%'), lambda x, i: CASE WHEN i > 1 AND regexp_matches(x, '^[0-9a-fA-F]{{2}}') "
         f"THEN upper(x[1:2]) || x[3:] ELSE x END), '%')"

@@ -73,14 +73,14 @@ def crawl_summaries(crawl: DataFrame, document: DataFrame) -> DataFrame:
     return crawl.join(per, F.col("id") == F.col("_crawl"), "left").select("id", "name", "status", "max_depth", "max_pages", F.coalesce("_n", F.lit(0)).alias("documents"))
 
 
-def nearest_rank(df: DataFrame, key: str, value: str, q: float, buckets: int = 256) -> DataFrame:
+def nearest_rank(df: DataFrame, key: str, value: str, q: float, buckets: int = 32) -> DataFrame:
     """(key, n, value): sorted[min(n - 1, int(q * n))] per key, exactly, without sorting a key in one task.
 
     Approximate quantiles cut a key's range into buckets; the bucket that holds the rank is found by counting; only its distinct
     values, with their counts, are ranked. Null values don't count; a key without values has no row.
     """
     rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
-    cuts = rows.groupBy(F.col("k").alias("ck")).agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 10_000).alias("cuts"))
+    cuts = rows.groupBy(F.col("k").alias("ck")).agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 500).alias("cuts"))
     # One row a key, of at most ``buckets`` numbers; AQE decides whether it is small enough to broadcast.
     placed = rows.join(cuts, F.col("k").eqNullSafe(F.col("ck"))).select("k", "v", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("b"))
     counts = placed.groupBy("k", "b").agg(F.count("*").alias("nb"))

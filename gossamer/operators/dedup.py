@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,22 +26,23 @@ def greedy_leaders(rows: DataFrame, bands: int = 4, threshold: int = 3) -> DataF
     """(id, fp, duplicate): rows in order of id; a row is a duplicate iff an earlier leader is within ``threshold`` bits.
 
     Duplicates lead nothing, so the result is the lexicographically first maximal independent set of the candidate graph. Equal
-    fingerprints collapse to their first row before pairing: the others are duplicates. Each round decides every fingerprint whose
-    earlier neighbours are decided. Null fingerprints are never duplicates. ``rows``: id (unique), fp.
+    fingerprints collapse to their first row before pairing: the others are duplicates. A round takes the fingerprints without open
+    earlier neighbours as leaders and their later neighbours as duplicates. Null fingerprints are never duplicates. ``rows``: id (unique), fp.
     """
     held = rows.where("fp IS NOT NULL")
     firsts = cut_lineage(held.groupBy("fp").agg(F.min("id").alias("first")))
     pairs = fingerprint_pairs(firsts, bands, threshold)
     named = pairs.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("ia")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("ib")), "b")
     edges = cut_lineage(named.select(F.greatest("ia", "ib").alias("late"), F.least("ia", "ib").alias("early")))
-    decided = cut_lineage(firsts.select(F.col("first").alias("node")).join(edges.select(F.col("late").alias("node")), "node", "left_anti").withColumn("leader", F.lit(True)))
-    waiting = edges
+    new = cut_lineage(firsts.select(F.col("first").alias("node")).join(edges.select(F.col("late").alias("node")), "node", "left_anti"))
+    rounds, waiting = [new], edges
+    # Only what a round decides is stored, and the edges that are still open.
     while waiting.take(1):
-        state = waiting.join(decided.select(F.col("node").alias("early"), "leader"), "early", "left").groupBy("late").agg(
-            F.max(F.coalesce("leader", F.lit(False))).alias("led"), F.count_if(F.col("leader").isNull()).alias("open")
-        )
-        new = state.where("led OR open = 0").select(F.col("late").alias("node"), (~F.col("led")).alias("leader"))
-        decided = cut_lineage(decided.unionAll(new))
-        waiting = cut_lineage(waiting.join(decided.select(F.col("node").alias("late")), "late", "left_anti"))
-    leaders = decided.where("leader").select(F.col("node").alias("id"), F.lit(True).alias("is_leader"))
+        led = cut_lineage(waiting.join(new.select(F.col("node").alias("early")), "early", "left_semi").select(F.col("late").alias("node")).distinct())
+        left = waiting.join(led.select(F.col("node").alias("late")), "late", "left_anti")
+        still = cut_lineage(left.join(led.select(F.col("node").alias("early")), "early", "left_anti"))
+        new = cut_lineage(left.select(F.col("late").alias("node")).distinct().join(still.select(F.col("late").alias("node")), "node", "left_anti"))
+        rounds.append(new)
+        waiting = still
+    leaders = reduce(DataFrame.unionAll, rounds).select(F.col("node").alias("id"), F.lit(True).alias("is_leader"))
     return rows.join(leaders, "id", "left").select("id", "fp", (F.col("fp").isNotNull() & F.col("is_leader").isNull()).alias("duplicate"))

@@ -342,9 +342,9 @@ def k9(spark, d):
 # Scalar functions
 
 
-@query("u1_normalize_url", f"SELECT msg_id, {url.duckdb_normalized('url', True)} AS normalized FROM frontier_message")
+@query("u1_normalize_url", f"SELECT msg_id, {url.duckdb_normalized('url', True, True)} AS normalized FROM frontier_message")
 def u1(spark, d):
-    return table(spark, d, "frontier_message").select("msg_id", url.normalize_url(F.col("url"), first_of_equal_names=True).alias("normalized"))
+    return table(spark, d, "frontier_message").select("msg_id", url.normalize_url(F.col("url"), first_of_equal_names=True, encoded=True).alias("normalized"))
 
 
 @query("u2_tracked_urls", "SELECT msg_id FROM frontier_message WHERE regexp_matches(url, '[?&](" + "|".join(url.TRACKING) + ")=[^#]*(#|$)') AND regexp_matches(url, '^[^#]*[?&](" + "|".join(url.TRACKING) + ")=')")
@@ -404,8 +404,8 @@ def t7(spark, d):
 
 @query(
     "t10_bloom_sizing",
-    """SELECT doc_id, greatest(1, CAST(ceil(-n_chars * ln(0.01) / pow(ln(2), 2)) AS BIGINT)) AS bits,
-    greatest(1, CAST(round_even(greatest(1, CAST(ceil(-n_chars * ln(0.01) / pow(ln(2), 2)) AS BIGINT)) / n_chars * ln(2), 0) AS BIGINT)) AS hashes FROM documents WHERE n_chars > 0""",
+    """SELECT doc_id, greatest(8, CAST(ceil(-n_chars * ln(0.01) / pow(ln(2), 2)) AS BIGINT)) AS bits,
+    greatest(1, CAST(round_even(greatest(8, CAST(ceil(-n_chars * ln(0.01) / pow(ln(2), 2)) AS BIGINT)) / n_chars * ln(2), 0) AS BIGINT)) AS hashes FROM documents WHERE n_chars > 0""",
 )
 def t10(spark, d):
     from gossamer.functions.hashing import optimal_bits_col, optimal_hashes_col

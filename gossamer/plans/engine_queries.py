@@ -259,9 +259,7 @@ def g4(spark, d):
 
 @query("j5_probably_new")
 def j5(spark, d):
-    seen = doc(spark, d).select("url").distinct()
-    filter_ = bloom.build_bloom(seen, "url", 1_000_000, 0.01)
-    return bloom.probably_new(edge(spark, d).select(F.col("dst_url").alias("url")).distinct(), "url", filter_)
+    return bloom.unseen_rows(edge(spark, d).select(F.col("dst_url").alias("url")).distinct(), "url", doc(spark, d).select("url"))
 
 
 # Sharding
@@ -568,7 +566,7 @@ def r6_near(spark, d):
 @query("r8_breaker_stream")
 def r8_stream(spark, d):
     path = f"{d}/events.parquet"
-    stream = frontier.file_stream(spark, path, spark.read.parquet(path).schema)
+    stream = frontier.file_stream(spark, path, spark.read.parquet(path).schema, 2)
     rows = stream.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"), (F.col("event_type") == "error").alias("failed"))
     gate = gates.keyed_gate(rows, "user_id", "event_id", ["seconds", "failed"], state.breaker_step(THRESHOLD, 86400.0), "allowed boolean, state string", "mode string, failures int, opened double")
     return frontier.drain(gate, "r8")
@@ -577,7 +575,7 @@ def r8_stream(spark, d):
 @query("r9_budget_stream")
 def r9_stream(spark, d):
     path = f"{d}/events.parquet"
-    stream = frontier.file_stream(spark, path, spark.read.parquet(path).schema).select("user_id", "event_id", (F.col("event_id") % 3 + 1).alias("cost"))
+    stream = frontier.file_stream(spark, path, spark.read.parquet(path).schema, 2).select("user_id", "event_id", (F.col("event_id") % 3 + 1).alias("cost"))
     return frontier.drain(gates.keyed_gate(stream, "user_id", "event_id", ["cost"], state.strict_budget_step(40), "allowed boolean, remaining long", "used long"), "r9")
 
 
@@ -655,15 +653,14 @@ def au4(spark, d):
 
 @query("r5_seen_filter")
 def r5(spark, d):
-    """Messages whose url a fixed filter over the stored urls lacks."""
-    filter_ = bloom.build_bloom(doc(spark, d).select("url").distinct(), "url", 1_000_000, 0.01)
-    return bloom.probably_new(table(spark, d, "frontier_message").select("msg_id", "url"), "url", filter_).select("msg_id")
+    """Messages whose url a filter over the stored urls lacks."""
+    return bloom.unseen_rows(table(spark, d, "frontier_message").select("msg_id", "url"), "url", doc(spark, d).select("url")).select("msg_id")
 
 
 @query("r7_token_bucket_stream")
 def r7(spark, d):
     path = f"{d}/events.parquet"
-    stream = frontier.file_stream(spark, path, spark.read.parquet(path).schema)
+    stream = frontier.file_stream(spark, path, spark.read.parquet(path).schema, 2)
     rows = stream.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e3).alias("now_ms"), F.lit(1).alias("wanted"))
     return frontier.drain(gates.keyed_gate(rows, "user_id", "event_id", ["now_ms", "wanted"], state.token_bucket_step(5, RATE / 10), "allowed boolean, wait_ms long", "tokens double, then double"), "r7")
 

@@ -28,7 +28,8 @@ def get_session(app: str = "gossamer", master: str | None = None, **conf: object
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder. Only a session that names none (tests, a laptop) gets a local one."""
+    """The cluster's shared checkpoint folder. A local session that names none (tests, a laptop) gets a temporary one; a cluster must name
+    one, as no executor could read another machine's."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -36,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix=f"gossamer-{os.getpid()}-"))
         held = spark.sparkContext.getCheckpointDir()
     return held

@@ -205,3 +205,26 @@ def test_cache():
     assert cache.get("a", "gone") == "gone" and len(cache) == 1
     with pytest.raises(ValueError):
         LruCache(0)
+
+
+def test_public_suffixes_by_rule(spark):
+    cases = {
+        "www.service.gov.uk": "service.gov.uk", "gov.uk": "gov.uk", "a.b.co.kr": "b.co.kr", "www.bbc.co.uk": "bbc.co.uk", "x.y.de": "y.de", "y.de": "y.de", "a.b.com": "b.com", "shop.example": "shop.example",
+        "a.b.test": "a.b.test", "10.0.0.1": "10.0.0.1", "localhost": "localhost", "a.b.com.au": "b.com.au", "www.univ.ac.jp": "univ.ac.jp", "co.uk": "co.uk", "uk": "uk", "[::1]": "[::1]", "a.b.museum": "b.museum",
+    }
+    df = spark.createDataFrame(list(cases.items()), "host string, want string")
+    assert df.where(~url.registered_domain_of_host(F.col("host")).eqNullSafe(F.col("want"))).collect() == []
+
+
+def test_unsafe_characters_are_encoded(spark):
+    cases = {
+        "http://h/é ü?q=a b": "http://h/%C3%A9%20%C3%BC?q=a%20b", "http://h/%c3%a9": "http://h/%C3%A9", 'http://h/<a>"b"': "http://h/%3Ca%3E%22b%22", "http://h/\U0001f600": "http://h/%F0%9F%98%80",
+        "http://h/a+b?x=1&y=[2]": "http://h/a+b?x=1&y=[2]", "http://h/100%": "http://h/100%", " http://H ": "http://h/",
+    }
+    df = spark.createDataFrame(list(cases.items()), "u string, want string")
+    got = df.select("want", url.normalize_url(F.col("u"), True, True).alias("native"), url.normalize_hrefs(F.col("u"), F.lit(None).cast("string")).alias("python")).collect()
+    assert [(r["native"], r["python"]) for r in got] == [(r["want"], r["want"]) for r in got]
+
+
+def test_a_filter_has_eight_bits_at_least():
+    assert hashing.optimal_bits(1, 0.5) == 8 and hashing.optimal_hashes(8, 1) == 6
