@@ -8,6 +8,7 @@ from gossamer.api import CrawlAnalytics
 from gossamer.functions import hashing, html, robots, text, url
 from gossamer.operators import analytics, bloom, dedup, graph, pipeline, sharding, state, writes
 from gossamer.plans.analytics_queries import AGE, HOST_SQL, HTML_SQL, NOW, STALE_SQL, doc, edge
+from gossamer.plans import twins
 from gossamer.plans.registry import query, table
 from gossamer.sources import fetch, messages, objects, site
 from gossamer.streaming import frontier, gates, panels
@@ -41,7 +42,11 @@ def w3(spark, d):
     return state.budget(events(spark, d), "user_id", "event_id", 40, F.col("event_id") % 3 + 1).select("event_id", "allowed", "remaining")
 
 
-@query("w4_strict_budget")
+_PAID = "(SELECT *, (event_id % 3 + 1)::BIGINT AS cost FROM events)"
+_STRICT_SQL = twins.strict_budget(_PAID, "user_id", "event_id", "cost", 40)
+
+
+@query("w4_strict_budget", _STRICT_SQL)
 def w4(spark, d):
     rows = events(spark, d).withColumn("cost", F.col("event_id") % 3 + 1)
     return state.keyed_fold(rows, "user_id", ["event_id"], ["cost"], state.strict_budget_step(40), "allowed boolean, remaining long")
@@ -56,7 +61,7 @@ def w5(spark, d):
     return state.paced_grants(events(spark, d), "user_id", "event_id", F.col("seconds"), RATE).select("event_id", F.round("grant_s", 3).alias("grant_s"))
 
 
-@query("w6_token_bucket")
+@query("w6_token_bucket", twins.token_bucket(f"(SELECT *, seconds * 1000 AS now_ms FROM ({_EV}))", "user_id", "event_id", "now_ms", 5, RATE / 10))
 def w6(spark, d):
     rows = events(spark, d).withColumn("now_ms", F.col("seconds") * 1000).withColumn("wanted", F.lit(1))
     return state.keyed_fold(rows, "user_id", ["event_id"], ["now_ms", "wanted"], state.token_bucket_step(5, RATE / 10), "allowed boolean, wait_ms long")
@@ -81,13 +86,16 @@ def w9(spark, d):
     return doc(spark, d).select("url").unionByName(edge(spark, d).select(F.col("dst_url").alias("url"))).distinct()
 
 
-@query("r8_breaker")
+_BREAKER_SQL = twins.breaker(f"(SELECT *, event_type = 'error' AS failed FROM ({_EV}))", "user_id", "event_id", "seconds", "failed", THRESHOLD, 86400.0)
+
+
+@query("r8_breaker", _BREAKER_SQL)
 def r8(spark, d):
     rows = events(spark, d).withColumn("failed", F.col("event_type") == "error")
     return state.keyed_fold(rows, "user_id", ["event_id"], ["seconds", "failed"], state.breaker_step(THRESHOLD, 86400.0), "allowed boolean, state string")
 
 
-@query("a19_open_breakers")
+@query("a19_open_breakers", f"SELECT count_if(state = 'open')::BIGINT AS open FROM (SELECT arg_max(state, event_id) AS state FROM ({_BREAKER_SQL}) GROUP BY user_id)")
 def a19(spark, d):
     last = r8(spark, d).groupBy("user_id").agg(F.max_by("state", "event_id").alias("state"))
     return last.agg(F.count_if(F.col("state") == state.OPEN).alias("open"))
@@ -222,12 +230,12 @@ def t8(spark, d):
     return table(spark, d, "documents").select("doc_id", (html.gunzip(html.gzip(raw)) == raw).alias("same"))
 
 
-@query("t9_murmur")
+@query("t9_murmur", f"SELECT msg_id, {twins.murmur3('url')} AS hash FROM frontier_message")
 def t9(spark, d):
     return table(spark, d, "frontier_message").select("msg_id", hashing.murmur3("url").alias("hash"))
 
 
-@query("t11_bloom_places")
+@query("t11_bloom_places", f"SELECT DISTINCT id, {twins.bloom_places('url', hashing.optimal_bits(1_000_000, 0.01), 7)} AS places FROM document")
 def t11(spark, d):
     places = hashing.bloom_indices(hashing.optimal_bits(1_000_000, 0.01), 7)
     return doc(spark, d).select("id", F.array_join(places("url"), ",").alias("places")).distinct()
@@ -267,18 +275,26 @@ def j5(spark, d):
 NODES = [f"worker-{i}" for i in range(4)]
 
 
-@query("a12_load")
+_DOMAINS_SQL = "SELECT DISTINCT registered_domain FROM document WHERE registered_domain IS NOT NULL"
+_OWNED_SQL = twins.owned(_DOMAINS_SQL, "registered_domain", NODES)
+_LOAD_SQL = f"SELECT v.node, count(o.node) AS n FROM (VALUES {', '.join(f'({chr(39)}{n}{chr(39)})' for n in NODES)}) v(node) LEFT JOIN ({_OWNED_SQL}) o ON o.node = v.node GROUP BY 1"
+_IMBALANCE_SQL = f"SELECT CASE WHEN sum(n) > 0 THEN max(n) / (sum(n) / count(*)) ELSE 0.0 END::DOUBLE AS imbalance FROM ({_LOAD_SQL})"
+_CHURN_SQL = f"""SELECT (SELECT avg((b.node IS DISTINCT FROM a.node)::INT) FROM ({_OWNED_SQL}) b JOIN ({twins.owned(_DOMAINS_SQL, "registered_domain", [*NODES, "worker-4"])}) a USING (registered_domain)) AS churn,
+    (SELECT avg((h % 4 <> h % 5)::INT) FROM (SELECT {twins.murmur3("registered_domain")} AS h FROM ({_DOMAINS_SQL}))) AS naive_churn"""
+
+
+@query("a12_load", _LOAD_SQL)
 def a12(spark, d):
     keys = doc(spark, d).select("registered_domain").where("registered_domain IS NOT NULL").distinct()
     return sharding.distribution(keys.withColumn("node", sharding.assign(sharding.Ring(NODES))("registered_domain")), "node", NODES)
 
 
-@query("a13_imbalance")
+@query("a13_imbalance", _IMBALANCE_SQL)
 def a13(spark, d):
     return sharding.imbalance(a12(spark, d))
 
 
-@query("a14_churn")
+@query("a14_churn", _CHURN_SQL)
 def a14(spark, d):
     keys = doc(spark, d).select("registered_domain").where("registered_domain IS NOT NULL").distinct()
     ring = sharding.Ring(NODES)
@@ -307,13 +323,13 @@ def j10(spark, d):
     return sharding.churn(before, after, "id", "node").select(F.round("churn", 9).alias("churn"))
 
 
-@query("ring_points")
+@query("ring_points", twins.ring(NODES))
 def ring_points(spark, d):
     ring = sharding.Ring(NODES)
     return spark.createDataFrame([(int(p), ring.nodes[o]) for p, o in zip(ring.points, ring.owners)], "point long, node string")
 
 
-@query("ring_demo")
+@query("ring_demo", f"SELECT *, ({_IMBALANCE_SQL}) AS imbalance FROM ({_CHURN_SQL})")
 def ring_demo(spark, d):
     """Churn from 4 to 5 workers and load over the crawled domains."""
     return a14(spark, d).withColumn("imbalance", a13(spark, d).scalar())
@@ -344,10 +360,11 @@ def au1(spark, d):
     return merged.select("url", "http_status", "title", "content_hash", "depth", "crawl_id", "in_degree", "registered_domain", F.unix_micros("first_seen").alias("first_us"))
 
 
-@query("au2_insert_edges", "SELECT DISTINCT src_document_id, dst_url FROM link_edge")
+@query("au2_insert_edges", "SELECT src_document_id, dst_url, CASE WHEN count(*) = count(anchor_text) THEN arg_min(anchor_text, id) END AS anchor_text FROM link_edge GROUP BY 1, 2")
 def au2(spark, d):
+    """Pairs stored without an anchor keep none; of the others the first comes in, with its anchor."""
     edges = edge(spark, d)
-    return writes.insert_edges(edges.where("anchor_text IS NULL"), edges).select("src_document_id", "dst_url")
+    return writes.insert_edges(edges.where("anchor_text IS NULL"), edges)
 
 
 @query("au3_insert_bodies", "SELECT DISTINCT content_hash FROM page_body WHERE content_hash IS NOT NULL")
@@ -409,9 +426,14 @@ def s5(spark, d):
     return table(spark, d, "frontier_message").where("url IS NOT NULL").groupBy("url").agg(F.min("msg_id").alias("msg_id"))
 
 
-@query("s6_partitioned_log")
+_PARTITIONS = [str(i) for i in range(messages.PARTITIONS)]
+_HOSTS_SQL = f"SELECT DISTINCT {HOST_SQL('url')} AS domain FROM frontier_message WHERE {HOST_SQL('url')} IS NOT NULL"
+_PARTED_SQL = f"SELECT domain, n, node::INT AS partition FROM (SELECT {HOST_SQL('url')} AS domain, count(*) AS n FROM frontier_message WHERE {HOST_SQL('url')} IS NOT NULL GROUP BY 1) JOIN ({twins.owned(_HOSTS_SQL, 'domain', _PARTITIONS)}) USING (domain)"
+
+
+@query("s6_partitioned_log", f"SELECT partition, sum(n)::BIGINT AS n FROM ({_PARTED_SQL}) GROUP BY 1")
 def s6(spark, d):
-    rows = table(spark, d, "frontier_message").withColumn("domain", url.registered_domain(F.col("url")))
+    rows = table(spark, d, "frontier_message").withColumn("domain", url.registered_domain(F.col("url"))).where("domain <> ''")
     return messages.with_partition(rows, "domain").groupBy("partition").agg(F.count("*").alias("n"))
 
 
@@ -563,7 +585,7 @@ def r6_near(spark, d):
     return frontier.drain(gates.near_duplicate_gate(rows, "id", "simhash", "seconds"), "r6n")
 
 
-@query("r8_breaker_stream")
+@query("r8_breaker_stream", _BREAKER_SQL)
 def r8_stream(spark, d):
     path = f"{d}/events.parquet"
     stream = frontier.file_stream(spark, path, spark.read.parquet(path).schema, 2)
@@ -572,7 +594,7 @@ def r8_stream(spark, d):
     return frontier.drain(gate, "r8")
 
 
-@query("r9_budget_stream")
+@query("r9_budget_stream", _STRICT_SQL)
 def r9_stream(spark, d):
     path = f"{d}/events.parquet"
     stream = frontier.file_stream(spark, path, spark.read.parquet(path).schema, 2).select("user_id", "event_id", (F.col("event_id") % 3 + 1).alias("cost"))
@@ -585,11 +607,11 @@ def r14(spark, d):
     return doc(spark, d).where(analytics.stale(NOW, AGE)).select("url", F.lit(0).alias("depth"), "crawl_id").distinct()
 
 
-@query("r15_domain_partitions", f"SELECT {HOST_SQL('url')} AS domain, count(*) AS n, 1::BIGINT AS partitions FROM frontier_message WHERE {HOST_SQL('url')} IS NOT NULL GROUP BY 1")
+@query("r15_domain_partitions", _PARTED_SQL)
 def r15(spark, d):
-    """All messages of a domain share a partition."""
+    """The partition of each domain, and the messages that go there: were there two of a domain, it would have two rows."""
     rows = table(spark, d, "frontier_message").withColumn("domain", url.registered_domain(F.col("url"))).where("domain <> ''")
-    return messages.with_partition(rows, "domain").groupBy("domain").agg(F.count("*").alias("n"), F.countDistinct("partition").alias("partitions"))
+    return messages.with_partition(rows, "domain").groupBy("domain", "partition").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -600,9 +622,13 @@ def r17(spark, d):
     return panels.rates(events(spark, d), "ts", "event_type").select(F.unix_seconds("window_end").alias("window_end_s"), "event_type", "n", "per_second")
 
 
-@query("r17_latency_quantiles")
+_BOUNDS = (1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 500.0)
+
+
+@query("r17_latency_quantiles", f"SELECT epoch(window_end)::BIGINT AS window_end_s, n, round(p50, 6) AS p50, round(p95, 6) AS p95, round(p99, 6) AS p99 FROM ({twins.latency_quantiles('events', 'ts', 'value', _BOUNDS, '1 day')})")
 def r17_quantiles(spark, d):
-    return panels.latency_quantiles(events(spark, d), "ts", "value", (1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 500.0), "1 day")
+    rows = panels.latency_quantiles(events(spark, d), "ts", "value", _BOUNDS, "1 day")
+    return rows.select(F.unix_seconds("window_end").alias("window_end_s"), "n", *[F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")])
 
 
 # What remains of the inventory
@@ -657,7 +683,7 @@ def r5(spark, d):
     return bloom.unseen_rows(table(spark, d, "frontier_message").select("msg_id", "url"), "url", doc(spark, d).select("url")).select("msg_id")
 
 
-@query("r7_token_bucket_stream")
+@query("r7_token_bucket_stream", twins.token_bucket("(SELECT *, epoch_us(ts) / 1e3 AS now_ms FROM events)", "user_id", "event_id", "now_ms", 5, RATE / 10))
 def r7(spark, d):
     path = f"{d}/events.parquet"
     stream = frontier.file_stream(spark, path, spark.read.parquet(path).schema, 2)
