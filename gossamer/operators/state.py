@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,6 +81,62 @@ def keyed_fold(df: DataFrame, key: str, order: list[str], inputs: list[str], ste
     return df.select(*columns).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, f"{head}, {output}")
 
 
+def strict_budget(df: DataFrame, key: str, seq: str, cost: str, limit: int, block: int = 1 << 16) -> DataFrame:
+    """(key, seq, allowed, remaining) of a budget that a denied request doesn't charge, without one task per key.
+
+    What a block of ``block`` values of ``seq`` does to a budget is a table: from each amount used before to the amount used after. The tables
+    of a key's blocks are composed in order, a row a block; then every block is folded from where it starts. ``cost`` is a whole number of
+    at least 0, null counts as 0; null keys form one key; rows with a null seq have no place and are left out; a limit of 0 or less allows all.
+    """
+    rows = df.where(F.col(seq).isNotNull()).select(F.col(key).alias("_k"), F.col(seq).alias("_s"), F.coalesce(F.col(cost), F.lit(0)).cast("long").alias("_c"), F.expr(f"`{seq}` div {int(block)}").alias("_b"))
+    types = {n: t for n, t in rows.dtypes}
+    most = max(limit, 0)
+
+    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = np.arange(most + 1)
+        at, used = None, every
+
+        def done() -> pd.DataFrame:
+            return pd.DataFrame({"_k": pd.Series([at[0]], dtype=object), "_b": [at[1]], "after": [used.tolist()]})
+
+        for batch in batches:
+            keys = batch["_k"].astype(object).where(batch["_k"].notna(), None)
+            for k, b, c in zip(keys, batch["_b"], batch["_c"].tolist()):
+                if at != (k, b):
+                    if at is not None:
+                        yield done()
+                    at, used = (k, b), every
+                if limit > 0:
+                    used = np.where(used + c <= limit, used + c, used)
+        if at is not None:
+            yield done()
+
+    placed = rows.repartition("_k", "_b").sortWithinPartitions("_k", "_b", "_s")
+    after = placed.mapInPandas(tables, f"_k {types['_k']}, _b long, after array<int>")
+
+    def compose(state, row):
+        before = state[0] if state else 0
+        return (int(row[0][before]),), (before,)
+
+    starts = keyed_fold(after, "_k", ["_b"], ["after"], compose, "start int").select(F.col("_k").alias("_k2"), F.col("_b").alias("_b2"), "start")
+    joined = rows.join(starts, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_b") == F.col("_b2"))).select("_k", "_b", "_s", "_c", "start")
+    plain = strict_budget_step(limit)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None
+        for batch in batches:
+            keys = batch["_k"].astype(object).where(batch["_k"].notna(), None)
+            out = []
+            for k, b, c, start in zip(keys, batch["_b"], batch["_c"].tolist(), batch["start"].tolist()):
+                if at != (k, b):
+                    at, state = (k, b), (start,)
+                state, result = plain(state, (c,))
+                out.append(result)
+            yield pd.DataFrame({key: batch["_k"], seq: batch["_s"], "allowed": [r[0] for r in out], "remaining": [r[1] for r in out]})
+
+    return joined.repartition("_k", "_b").sortWithinPartitions("_k", "_b", "_s").mapInPandas(fold, f"{key} {types['_k']}, {seq} {types['_s']}, allowed boolean, remaining long")
+
+
 def strict_budget_step(limit: int) -> Step:
     """A budget that a denied request doesn't charge. Input: (cost); output: (allowed, remaining)."""
 

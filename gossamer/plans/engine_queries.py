@@ -11,6 +11,7 @@ from gossamer.plans.analytics_queries import AGE, HOST_SQL, HTML_SQL, NOW, STALE
 from gossamer.plans import twins
 from gossamer.plans.registry import query, table
 from gossamer.sources import fetch, messages, objects, site
+from gossamer.session import cut_lineage
 from gossamer.streaming import frontier, gates, panels
 
 RATE, LIMIT, THRESHOLD = 0.001, 20, 3
@@ -49,7 +50,7 @@ _STRICT_SQL = twins.strict_budget(_PAID, "user_id", "event_id", "cost", 40)
 @query("w4_strict_budget", _STRICT_SQL)
 def w4(spark, d):
     rows = events(spark, d).withColumn("cost", F.col("event_id") % 3 + 1)
-    return state.keyed_fold(rows, "user_id", ["event_id"], ["cost"], state.strict_budget_step(40), "allowed boolean, remaining long")
+    return state.strict_budget(rows, "user_id", "event_id", "cost", 40)
 
 
 @query(
@@ -738,3 +739,41 @@ def api_graph(spark, d):
 @query("api_crawls", "SELECT c.id, c.name, c.status, c.max_depth, c.max_pages, (SELECT count(*) FROM document d WHERE d.crawl_id = c.id) AS documents FROM crawl c ORDER BY c.id DESC LIMIT 50")
 def api_crawls(spark, d):
     return CrawlAnalytics(spark, d).crawls(50)
+
+
+@query("api_documents", "SELECT id, url FROM document WHERE url ILIKE '%why%' OR title ILIKE '%why%' ORDER BY id DESC, url LIMIT 50")
+def api_documents(spark, d):
+    return CrawlAnalytics(spark, d).documents(50, q="why").select("id", "url")
+
+
+@query("api_document", "SELECT id, url, depth, http_status FROM document WHERE id = 5")
+def api_document(spark, d):
+    return CrawlAnalytics(spark, d).document(5).select("id", "url", "depth", "http_status")
+
+
+@query("api_links", "SELECT DISTINCT dst_url, anchor_text FROM link_edge WHERE src_document_id = 5 ORDER BY dst_url, anchor_text NULLS FIRST LIMIT 200")
+def api_links(spark, d):
+    return CrawlAnalytics(spark, d).links(5)
+
+
+@query("api_domains", "SELECT registered_domain AS domain, count(*) AS n FROM document GROUP BY 1 ORDER BY n DESC, domain NULLS FIRST LIMIT 50")
+def api_domains(spark, d):
+    return CrawlAnalytics(spark, d).domains(50).toDF("domain", "n")
+
+
+@query("api_create", "SELECT id, name, status, max_depth, max_pages FROM crawl UNION ALL SELECT max(id) + 1, 'mine', 'running', 2, 50 FROM crawl")
+def api_create(spark, d):
+    return CrawlAnalytics(spark, d).create_crawl("mine", ["https://one.example/"], 2, 50, NOW).select("id", "name", "status", "max_depth", "max_pages")
+
+
+@query("api_stop", "SELECT id, CASE WHEN id = 1 AND status = 'running' THEN 'stopped' ELSE status END AS status FROM crawl")
+def api_stop(spark, d):
+    return CrawlAnalytics(spark, d).stop_crawl(1, NOW).select("id", "status")
+
+
+@query("pl_parse_dedup")
+def pl_parse_dedup(spark, d):
+    """One job over the stored pages: title, links and fingerprint of each in one parse, then its near-duplicate flag."""
+    parsed = cut_lineage(pages(spark, d).select("content_hash", html.html_title("page").alias("title"), F.size(html.html_links("page", F.lit("http://site.test/"))).alias("n_links"), text.simhash(html.html_text("page")).alias("fp")))
+    flags = dedup.greedy_leaders(parsed.select(F.col("content_hash").alias("id"), "fp"))
+    return parsed.join(flags.select(F.col("id").alias("content_hash"), "duplicate"), "content_hash")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gossamer.streaming import frontier
+
 
 def rates(events: DataFrame, time: str, by: str, width: str = "5 minutes", slide: str = "1 minute", seconds: int = 300, late: str = "10 minutes") -> DataFrame:
     """(window_end, by, n, per_second) over sliding windows; on a stream, windows close ``late`` after their end."""
@@ -40,8 +42,5 @@ def latency_quantiles(events: DataFrame, time: str, value: str, buckets: Sequenc
 
 
 def polled_counts(stream: DataFrame, by: str, name: str) -> DataFrame:
-    """Counts by ``by`` of a stream, kept in a memory table that a display may ask at any time; here it is drained first."""
-    counts = stream.groupBy(by).agg(F.count("*").alias("n"))
-    query = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Counts by ``by`` of a stream as they stand once it is drained, as a table in the shared folder that a display may ask at any time."""
+    return frontier.drain(stream.groupBy(by).agg(F.count("*").alias("n")), name, "complete")

@@ -189,20 +189,6 @@ def test_intervals(spark):
     assert rows == [100.0, 200.0, 400.0, 800.0]
     assert spark.createDataFrame([(800.0,)], "c double").select(scalars.next_interval(F.col("c"), F.lit(False), 100.0, 1000.0, 2.0).alias("n")).first()["n"] == 1000.0
     assert spark.createDataFrame([(800.0,)], "c double").select(scalars.next_interval(F.col("c"), F.lit(True), 100.0, 1000.0, 2.0).alias("n")).first()["n"] == 100.0
-
-
-def test_cache():
-    from gossamer.functions.cache import LruCache
-
-    now = [0.0]
-    cache = LruCache(2, ttl=10, clock=lambda: now[0])
-    cache.put("a", 1)
-    cache.put("b", 2)
-    assert cache.get("a") == 1
-    cache.put("c", 3)
-    assert cache.get("b") is None and cache.get("a") == 1 and len(cache) == 2
-    now[0] = 10.0
-    assert cache.get("a", "gone") == "gone" and len(cache) == 1
     with pytest.raises(ValueError):
         LruCache(0)
 

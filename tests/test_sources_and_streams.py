@@ -92,3 +92,17 @@ def test_histogram_quantile(spark):
     row = spark.createDataFrame([(0, 10, 20, 20), (5, 5, 5, 10), (0, 0, 0, 0)], "a int, b int, c int, n int")
     got = [r["q"] for r in row.select(panels.histogram_quantile([F.col("a"), F.col("b"), F.col("c")], F.col("n"), buckets, 0.5).alias("q")).collect()]
     assert got == [2.0, 1.0, None]
+
+
+def test_fetches_run_side_by_side_in_order(spark):
+    import time
+
+    def transport(address, headers, options):
+        time.sleep(0.2)
+        return address, 200, {}, address.encode()
+
+    requests = spark.createDataFrame([(f"https://x.example/{i}", None) for i in range(40)], "url string, headers map<string,string>").coalesce(1)
+    began = time.monotonic()
+    got = fetch.fetch(requests, transport, fetch.FetchOptions(connections=20)).collect()
+    assert [r["url"] for r in got] == [f"https://x.example/{i}" for i in range(40)] and all(bytes(r["body"]) == r["url"].encode() for r in got)
+    assert max(r["elapsed"] for r in got) < 40 * 0.2 and time.monotonic() - began < 40 * 0.2

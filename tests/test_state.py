@@ -99,3 +99,19 @@ def test_token_bucket_never_overspends(requests, capacity, rate):
     span = (requests[-1][0] - requests[0][0]) / 1000 if requests else 0
     assert spent <= capacity + rate * span + 1e-6
     assert all((wait > 0) != ok for ok, wait in out)
+
+
+def test_strict_budget_by_blocks_is_the_sequential_one(spark):
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), i, rng.choice([0, 1, 2, 5, 30, None])) for i in rng.sample(range(-50, 700), 500)] + [("hot", None, 1)]
+    df = spark.createDataFrame(rows, "k string, n long, cost int").withColumn("_k", F.lit(1))
+    for limit in (40, 0):
+        got = {r["n"]: (r["k"], r["allowed"], r["remaining"]) for r in state.strict_budget(df, "k", "n", "cost", limit, 16).collect()}
+        held, want = {}, {}
+        step = state.strict_budget_step(limit)
+        for k, n, cost in sorted((r for r in rows if r[1] is not None), key=lambda r: r[1]):
+            held[k], result = step(held.get(k), (cost,))
+            want[n] = (k, *result)
+        assert got == want
+    assert state.strict_budget(df.limit(0), "k", "n", "cost", 40).count() == 0
