@@ -120,8 +120,13 @@ class CrossParser:
             tables.append(t)
         #: Per language the phrases a character beyond which a text isn't in it.
         self.most = np.array([MOST_RATE * np.log(TRAIN_CHARS) / np.log(min(TRAIN_CHARS, max(100, len(training[x])))) for x in self.languages])
-        self.table = np.concatenate(tables).ravel()
-        self.entry = self.table.reshape(-1, _SIZE)[self.root].T.copy()  # alphabet × languages: moves from the roots
+        # States are held as the place of their row, so that a move is one addition and one look.
+        table = np.concatenate(tables)
+        self.root *= _SIZE
+        self.table = np.where(table < 0, -1, table * _SIZE).astype(np.int32).ravel()
+        first = self.table.reshape(-1, _SIZE)[self.root // _SIZE].T
+        #: (alphabet × languages): where a phrase that begins with a character goes; the root if the language lacks it.
+        self.entry = np.where(first < 0, self.root, first).astype(np.int32)
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """(texts × languages) phrase counts; an empty text has no phrase."""
@@ -148,15 +153,17 @@ class CrossParser:
         state = np.tile(self.root, (len(pieces), 1))
         # Each piece but a text's first goes on with the phrase that the cut divided.
         count = np.repeat(np.array(opens, dtype=np.int32)[order][:, None], len(self.languages), axis=1)
+        held = np.empty_like(state)
         for t in range(width):
             n = active[t]
             c = codes[t, :n]
-            nxt = self.table[state[:n] * _SIZE + c[:, None]]
+            now, nxt = state[:n], held[:n]
+            now += c[:, None]
+            np.take(self.table, now, out=nxt, mode="clip")
             miss = nxt < 0
             count[:n] += miss
-            fresh = self.entry[c]
-            np.copyto(nxt, np.where(fresh < 0, self.root, fresh), where=miss)
-            state[:n] = nxt
+            np.copyto(nxt, self.entry[c], where=miss)
+            state, held = held, state
         np.add.at(out, np.asarray(owner)[order], count)
         return out
 
@@ -166,6 +173,7 @@ class CrossParser:
         return phrases[np.arange(len(best)), best] > self.most[best] * sizes
 
 
+_LETTER = re.compile(r"[^\W\d_]")
 _NO_LETTER = re.compile(r"[\W\d_]+")
 
 
@@ -192,7 +200,7 @@ def text_languages(parser: CrossParser | None, texts: list[str]) -> list[str | N
     phrases = parser.phrases(texts).astype(np.float64)
     best = phrases.argmin(axis=1)
     strange = parser.strange(phrases, best, np.array([len(t) for t in texts], dtype=np.float64))
-    return [None if bad or not n_letters(t) else parser.languages[b] for t, b, bad in zip(texts, best, strange)]
+    return [None if bad or not _LETTER.search(t) else parser.languages[b] for t, b, bad in zip(texts, best, strange)]
 
 
 def label_language(label: Column) -> Column:
