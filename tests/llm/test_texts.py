@@ -181,10 +181,10 @@ def test_topics_are_found_apart_from_the_language():
         rng.shuffle(words)
         texts.append(" ".join(words)), spoken.append(x), field.append(f)
     model = topics.fit_topics(texts, spoken, 2)
-    named = [model.topic_of(t, x) for t, x in zip(texts, spoken)]
+    named = model.topics_of(texts, spoken)
     pairs = {(n, f): sum(a == n and b == f for a, b in zip(named, field)) for n in set(named) for f in fields}
     assert len(set(named)) == 2 and sum(sorted(pairs.values())[-2:]) >= 0.9 * len(texts)
-    assert model.topic_of("", "en") == model.topic_of("a b c", None) == "other" and topics.fit_topics([], []).topic_of("dough", None) == "other"
+    assert model.topics_of(["", "a b c"], ["en", None]) == ["other", "other"] and topics.fit_topics([], []).topics_of(["dough"], [None]) == ["other"] and model.topics_of([], []) == []
 
 
 # Languages
