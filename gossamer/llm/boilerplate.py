@@ -76,7 +76,8 @@ def fitted_model(bodies: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Content
     The sample is what the driver gets: at most twice ``sample_pages`` rows, however large the table. Everything after covers all bodies.
     """
     html = html_bodies(bodies)
-    rows = html.agg(F.count("*")).first()[0]
+    # Counted without a look at the bodies.
+    rows = bodies.where(is_html(bodies["content_type"]) & bodies["content_hash"].isNotNull()).agg(F.count("*")).first()[0]
     place = F.pmod(F.xxhash64("content_hash"), F.lit(1 << 32))
     sample = html.where(place < int(min(1.0, sample_pages / max(rows, 1)) * (1 << 32))).dropDuplicates(["content_hash"]).orderBy("content_hash").limit(2 * sample_pages).collect()
     texts = [page_text(r["body"], r["content_type"]) for r in sample]
