@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 
 BITS = 64
 _WORD = re.compile(r"\w+")
-_SHIFTS = np.arange(BITS, dtype=np.uint64)
 
 
 def tokens(text: Column) -> Column:
@@ -35,10 +34,10 @@ def simhash_of(text: str | None) -> int:
     if not counts:
         return 0
     hashes = np.fromiter(map(token_hash, counts), dtype=np.uint64, count=len(counts))
-    weights = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
-    bits = ((hashes[:, None] >> _SHIFTS) & np.uint64(1)).astype(np.int64)
-    sums = 2 * (weights @ bits) - weights.sum()
-    return int(((sums > 0).astype(np.uint64) << _SHIFTS).sum(dtype=np.uint64))
+    weights = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)  # the highest bit first
+    sums = 2 * (weights @ bits) - weights.sum()  # whole numbers, exact below 2**53
+    return int.from_bytes(np.packbits(sums > 0).tobytes(), "big")
 
 
 def signed64(value: int) -> int:

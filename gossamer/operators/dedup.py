@@ -38,11 +38,13 @@ def greedy_leaders(rows: DataFrame, bands: int = 4, threshold: int = 3) -> DataF
     rounds, waiting = [new], edges
     # Only what a round decides is stored, and the edges that are still open.
     while waiting.take(1):
-        led = cut_lineage(waiting.join(new.select(F.col("node").alias("early")), "early", "left_semi").select(F.col("late").alias("node")).distinct())
+        led = waiting.join(new.select(F.col("node").alias("early")), "early", "left_semi").select(F.col("late").alias("node")).distinct()
         left = waiting.join(led.select(F.col("node").alias("late")), "late", "left_anti")
-        still = cut_lineage(left.join(led.select(F.col("node").alias("early")), "early", "left_anti"))
-        new = cut_lineage(left.select(F.col("late").alias("node")).distinct().join(still.select(F.col("late").alias("node")), "node", "left_anti"))
+        still = left.join(led.select(F.col("node").alias("early")), "early", "left_anti").select("late", "early")
+        free = left.select("late").distinct().join(still.select("late"), "late", "left_anti")
+        # Both in one job: open edges, and new leaders as edges to nothing.
+        both = cut_lineage(still.unionAll(free.select("late", F.lit(None).cast(still.schema["early"].dataType).alias("early"))))
+        new, waiting = both.where("early IS NULL").select(F.col("late").alias("node")), both.where("early IS NOT NULL")
         rounds.append(new)
-        waiting = still
     leaders = reduce(DataFrame.unionAll, rounds).select(F.col("node").alias("id"), F.lit(True).alias("is_leader"))
     return rows.join(leaders, "id", "left").select("id", "fp", (F.col("fp").isNotNull() & F.col("is_leader").isNull()).alias("duplicate"))

@@ -11,7 +11,7 @@ from gossamer.plans.analytics_queries import AGE, HOST_SQL, HTML_SQL, NOW, STALE
 from gossamer.plans import twins
 from gossamer.plans.registry import query, table
 from gossamer.sources import fetch, messages, objects, site
-from gossamer.session import cut_lineage
+from gossamer.session import cut_lineage, spread
 from gossamer.streaming import frontier, gates, panels
 
 RATE, LIMIT, THRESHOLD = 0.001, 20, 3
@@ -262,7 +262,8 @@ def j6(spark, d):
 
 @query("g4_greedy_leaders")
 def g4(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.simhash("text").alias("fp"))
+    # Stored: the leaders' rounds and the result read the fingerprints.
+    rows = cut_lineage(spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), text.simhash("text").alias("fp")))
     return dedup.greedy_leaders(rows)
 
 

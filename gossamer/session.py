@@ -50,6 +50,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Operators after which the number of partitions is no longer that of the files.
+_MOVING = ("Join", "Aggregate", "Repartition", "Sort", "Distinct", "Deduplicate", "Window")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work in Python. Only a table of a few small files is moved: a large
+    one has more splits than that, and what was shuffled is left to AQE."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if df.isStreaming or any(word in plan for word in _MOVING):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 _shipped: set[str] = set()
 
 
