@@ -93,7 +93,9 @@ def normalize_url(url: Column, first_of_equal_names: bool = False, encoded: bool
         return _let(joined, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
 
     trimmed = F.btrim(url, F.lit(BLANKS))
-    return _let(upper_escapes(encode_unsafe(trimmed) if encoded else trimmed), rebuilt)
+    if encoded:
+        return _let(trimmed, lambda t: _let(encode_unsafe(t), lambda e: _let(upper_escapes(e), rebuilt)))
+    return _let(upper_escapes(trimmed), rebuilt)
 
 
 def host_of(url: Column) -> Column:
