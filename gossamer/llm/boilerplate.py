@@ -19,6 +19,7 @@ from gossamer.llm.content_model import SAMPLE_PAGES, ContentModel, Layout, fit
 from gossamer.llm.frames import frame
 from gossamer.llm.maxflow import min_cut
 from gossamer.llm.page import HEADS, Page
+from gossamer.session import spread
 
 #: Capacities of the smoothness edges, on the scale of the costs (log-odds of at most ``content_model.MOST_COST``).
 SAME_BLOCK, HEADING, BRANCH, SAME_BRANCH, SAME_BOX, APART = 2.0, 1.0, 1.0, 0.6, 0.2, 0.15
@@ -110,6 +111,6 @@ def own_nodes(bodies: DataFrame, model: ContentModel | None = None) -> DataFrame
                     numbers.append(own)
             yield frame(content_hash=hashes, nodes=numbers)
 
-    labelled = html_bodies(bodies).mapInPandas(run, "content_hash string, nodes array<int>")
+    labelled = spread(html_bodies(bodies)).mapInPandas(run, "content_hash string, nodes array<int>")
     once = labelled.dropDuplicates(["content_hash"])
     return once.selectExpr("content_hash", "explode(nodes) AS node_no")

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gossamer.llm.frames import frame
+from gossamer.session import spread
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pl", "pt", "sv")
 # Spellings of the languages by ISO 639-1, 639-2 (both variants) and English name.
@@ -328,7 +329,7 @@ def language_rows(documents: DataFrame, training: dict[str, str]) -> DataFrame:
             yield frame(doc_id=doc_id, para_no=para_no, lang=lang, confidence=confidence, label=labels, doc_lang=doc_lang)
 
     schema = "doc_id long, para_no int, lang string, confidence double, label string, doc_lang string"
-    return documents.select("doc_id", "text", "lang").where("doc_id IS NOT NULL").mapInPandas(run, schema)
+    return spread(documents.select("doc_id", "text", "lang").where("doc_id IS NOT NULL")).mapInPandas(run, schema)
 
 
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
@@ -382,7 +383,7 @@ def language_segments(documents: DataFrame, training: dict[str, str]) -> DataFra
             yield pd.DataFrame(out, columns=["doc_id", "para_no", "seg_no", "lang", "confidence", "text"])
 
     rows = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInPandas(run, "doc_id long, para_no int, seg_no int, lang string, confidence double, text string")
+    return spread(rows).mapInPandas(run, "doc_id long, para_no int, seg_no int, lang string, confidence double, text string")
 
 
 def mixed_segments(documents: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from gossamer.functions.html import is_html, page_text, visible_text
 from gossamer.llm.components import connected_components
 from gossamer.llm.frames import frame
-from gossamer.session import cut_lineage
+from gossamer.session import cut_lineage, spread
 
 BANDS, ROWS = 32, 4
 N_HASHES = BANDS * ROWS
@@ -128,7 +128,7 @@ def sketches(texts: DataFrame, read, schema_in: list[str], width: int, min_words
                 keys.append(band_keys(minima))
             yield frame(key=key, cls=cls, sig=sig, keys=keys)
 
-    return texts.mapInPandas(run, f"key {texts.schema['key'].dataType.simpleString()}, cls long, sig binary, keys array<long>")
+    return spread(texts).mapInPandas(run, f"key {texts.schema['key'].dataType.simpleString()}, cls long, sig binary, keys array<long>")
 
 
 def _agreement():

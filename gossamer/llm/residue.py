@@ -19,6 +19,7 @@ from gossamer.functions.html import is_html, page_text, title_of
 from gossamer.llm.boilerplate import fitted_model, label_page
 from gossamer.llm.content_model import ContentModel
 from gossamer.llm.page import CODE_TAGS, Page
+from gossamer.session import spread
 
 #: One grammar per delimiter, as alternatives. A body excludes its own delimiters and newlines; its length plays no part.
 PLACEHOLDER = re.compile(
@@ -189,7 +190,7 @@ def residue_bodies(bodies: DataFrame, model: ContentModel | None = None) -> Data
             yield pd.DataFrame(out, columns=["content_hash", "kind"])
 
     kept = bodies.where(bodies["content_hash"].isNotNull() & bodies["body"].isNotNull())
-    return kept.select("content_hash", "body", "content_type", is_html(bodies["content_type"]).alias("html")).mapInPandas(run, "content_hash string, kind string")
+    return spread(kept.select("content_hash", "body", "content_type", is_html(bodies["content_type"]).alias("html"))).mapInPandas(run, "content_hash string, kind string")
 
 
 def residue_documents(document: DataFrame, bodies: DataFrame, model: ContentModel | None = None) -> DataFrame:

@@ -21,6 +21,7 @@ from gossamer.llm.content_model import ContentModel
 from gossamer.llm.frames import frame
 from gossamer.llm.page import Page
 from gossamer.llm.residue import STUB, residue_kind
+from gossamer.session import spread
 
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _SEPARATOR = re.compile(r"[*|•·/~+=»>#;,]|(?<=\s)[-–—](?=\s)")
@@ -92,7 +93,7 @@ def body_shapes(bodies: DataFrame, model: ContentModel | None = None) -> DataFra
                 shapes.append([(s, b, k, n) for (s, b), (k, n) in found.items()])
             yield frame(content_hash=hashes, shapes=shapes)
 
-    return html_bodies(bodies).mapInPandas(run, SHAPES)
+    return spread(html_bodies(bodies)).mapInPandas(run, SHAPES)
 
 
 def dominant_shapes(shapes: Column) -> Column:
