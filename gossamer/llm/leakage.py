@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from gossamer.llm.frames import frame
 from gossamer.llm.neardup import _P1, _P3, _mix, ordered_shingles, words_of
+from gossamer.session import cut_lineage, spread
 
 RUN, WIDTH = 13, 5
 #: Share of an item's shingles that a document must hold for the report.
@@ -124,15 +126,23 @@ class KeySet:
         return held
 
 
-def key_set(keys: DataFrame, column: str) -> KeySet:
-    """The filter over a column of 64-bit keys: 16 bits a key up to ``MAX_BITS``. Its words are OR-ed in the cluster."""
-    n = keys.agg(F.approx_count_distinct(column)).first()[0]
-    bits = min(MAX_BITS, 1 << max(10, math.ceil(math.log2(16 * max(n, 1)))))
-    places = keys.select(F.explode(F.array(F.col(column), F.shiftrightunsigned(column, 32))).alias("h")).select((F.col("h").bitwiseAND(F.lit(bits - 1))).alias("p"))
-    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63L as int)))").alias("v")).toPandas()
-    out = np.zeros(bits // 64, dtype=np.uint64)
-    out[words["w"].to_numpy(dtype=np.int64)] = words["v"].to_numpy(dtype=np.int64).view(np.uint64)
-    return KeySet(out)
+def key_sets(keys: dict[str, tuple[DataFrame, int]]) -> dict[str, KeySet]:
+    """A filter for each named column of 64-bit keys (a frame of that one column, and about how many): 16 bits a key up to ``MAX_BITS``.
+    The words of all filters are OR-ed in the cluster, in one job."""
+    sizes = {name: min(MAX_BITS, 1 << max(10, math.ceil(math.log2(16 * max(n, 1))))) for name, (_, n) in keys.items()}
+    parts = []
+    for name, (df, _) in keys.items():
+        key = F.col(df.columns[0])
+        places = df.select(F.explode(F.array(key, F.shiftrightunsigned(key, 32))).alias("h")).select(F.col("h").bitwiseAND(F.lit(sizes[name] - 1)).alias("p"))
+        parts.append(places.groupBy(F.lit(name).alias("name"), F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63L as int)))").alias("v")))
+    words = reduce(DataFrame.unionAll, parts).toPandas()
+    out = {}
+    for name, bits in sizes.items():
+        mine = words[words["name"] == name]
+        flat = np.zeros(bits // 64, dtype=np.uint64)
+        flat[mine["w"].to_numpy(dtype=np.int64)] = mine["v"].to_numpy(dtype=np.int64).view(np.uint64)
+        out[name] = KeySet(flat)
+    return out
 
 
 QUERIES = "item_id long, query int, size int, keys array<long>, shingles array<long>, words string"
@@ -218,7 +228,7 @@ def kept_segments(documents: DataFrame, parts: tuple[Partition, ...], keys: KeyS
         return [(int(owner[paired[k]]), int(number[paired[k]]), u, lanes[hit[:, k], k]) for k in kept.tolist()]
 
     docs = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return docs.mapInPandas(search, SEGMENTS)
+    return spread(docs).mapInPandas(search, SEGMENTS)
 
 
 def contained(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD, run: int | None = None) -> DataFrame:
@@ -229,14 +239,16 @@ def contained(documents: DataFrame, items: DataFrame, threshold: float = THRESHO
     ``\\w+`` of the lower-cased text, so case, punctuation and spacing play no part. Null ids and texts, and texts too short, share
     nothing; a document given twice counts once; documents are read whole; other columns play no part.
     """
-    queries = item_queries(items, run, threshold)
+    # Stored: the filters and the joins read them.
+    queries = cut_lineage(item_queries(items, run, threshold).dropDuplicates(["item_id", "query"]))
     index = queries.select("item_id", "query", "size", F.explode("keys").alias("key")).distinct()
-    keys = key_set(index, "key")
-    known = key_set(queries.select(F.explode("shingles").alias("shingle")), "shingle")
+    n = queries.agg(F.sum(F.size("keys")), F.sum(F.size("shingles"))).first()
+    sets = key_sets({"keys": (queries.select(F.explode("keys")), n[0] or 0), "known": (queries.select(F.explode("shingles")), n[1] or 0)})
+    keys, known = sets["keys"], sets["known"]
     parts = (run_partition(run),) if run else item_partitions(threshold)
     kept = kept_segments(documents, parts, keys, known, run).withColumn("key", F.explode("keys")).drop("keys")
     met = kept.join(index, ["size", "key"]).drop("key").dropDuplicates(["doc_id", "segment", "size", "item_id", "query"])
-    both = met.join(queries.select("item_id", "query", "shingles", "words").dropDuplicates(["item_id", "query"]), ["item_id", "query"])
+    both = met.join(queries.select("item_id", "query", "shingles", "words"), ["item_id", "query"])
     shared = F.size(F.array_intersect("held", "shingles"))
     scored = both.select("doc_id", "item_id", "query", shared.alias("n_shared"), F.size("shingles").alias("n_shingles"), "said", "words")
     if run:
