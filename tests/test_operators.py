@@ -299,3 +299,15 @@ def test_the_core_loads_without_the_llm_libraries():
     code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert 'u1_normalize_url' in q and 'p1_found' not in q and e.oracle_sql()"
     root = str(__import__("pathlib").Path(__file__).parents[1])
     assert subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=root).returncode == 0
+
+
+def test_only_small_tables_are_spread(spark):
+    from gossamer.session import spread
+
+    one = spark.range(0, 10, 1, 1).select((F.col("id") + 1).alias("n"))
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(one).rdd.getNumPartitions() == cores and {r[0] for r in spread(one).collect()} == set(range(1, 11))
+    many = spark.range(0, 10, 1, cores + 3)
+    assert spread(many) is many
+    counted = one.groupBy("n").count()
+    assert spread(counted) is counted
