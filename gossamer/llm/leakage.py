@@ -40,6 +40,8 @@ SIZES = (16, 32, 64, 128, 256)
 MAX_BITS = 1 << 27
 #: Shingles whose minima are taken at a time.
 PIECE = 1 << 14
+#: Characters of documents that are searched at a time.
+SLICE = 1 << 20
 _rng = np.random.RandomState(20240613)
 _MULT = (_rng.randint(0, 2**63, 512, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _rng.randint(0, 2**63, 512, dtype=np.int64).astype(np.uint64)
@@ -176,6 +178,18 @@ def item_queries(items: DataFrame, run: int | None, threshold: float) -> DataFra
     return rows.mapInPandas(each, QUERIES)
 
 
+def text_slices(texts: list[str], most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """(from, to) of neighbouring texts that together have at most ``most`` characters, or of one longer text."""
+    at = total = 0
+    for i, t in enumerate(texts):
+        if i > at and total + len(t) > most:
+            yield at, i
+            at, total = i, 0
+        total += len(t)
+    if at < len(texts):
+        yield at, len(texts)
+
+
 SEGMENTS = "doc_id long, segment int, size int, keys array<long>, held array<long>, said string"
 
 
@@ -187,27 +201,33 @@ def kept_segments(documents: DataFrame, parts: tuple[Partition, ...], keys: KeyS
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, known = map(KeySet, shipped.value)
         for batch in batches:
-            texts = [words_of(t) for t in batch["text"]]
-            each = [ordered_shingles(w, width) for w in texts]
-            sizes = np.array([len(s) for s in each], dtype=np.int64)
-            first = np.concatenate([[0], np.cumsum(sizes)])
-            shingles = np.concatenate(each) if each else np.empty(0, dtype=np.uint64)
-            out = []
-            if len(shingles):
-                flags = np.concatenate([[0], np.cumsum(known.has(shingles.view(np.int64)))])
-                for part in parts:
-                    out += part_segments(part, shingles, sizes, first, flags, keys)
-            doc = batch["doc_id"].to_numpy()
+            ids, raw = batch["doc_id"].tolist(), batch["text"].tolist()
             rows = []
-            for d, block, size, found in out:
-                s, e = block * size, min((block + 2) * size, int(sizes[d]))
-                if run:
-                    more = repeat_keys(each[d][s:e], size)
-                    found = np.concatenate([found, more[keys.has(more)]])
-                if len(found):
-                    rows.append((doc[d], block, size, found, np.unique(each[d][s:e]).view(np.int64), " ".join(texts[d][s : e + width - 1])))
+            for lo, hi in text_slices(raw):
+                rows += slice_rows(ids[lo:hi], raw[lo:hi], keys, known)
             yield pd.DataFrame(rows, columns=["doc_id", "segment", "size", "keys", "held", "said"])
 
+    def slice_rows(doc: list[int], raw: list[str], keys: KeySet, known: KeySet) -> list[tuple]:
+        texts = [words_of(t) for t in raw]
+        each = [ordered_shingles(w, width) for w in texts]
+        sizes = np.array([len(s) for s in each], dtype=np.int64)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        shingles = np.concatenate(each) if each else np.empty(0, dtype=np.uint64)
+        out = []
+        if len(shingles):
+            flags = np.concatenate([[0], np.cumsum(known.has(shingles.view(np.int64)))])
+            for part in parts:
+                out += part_segments(part, shingles, sizes, first, flags, keys)
+        rows = []
+        for d, block, size, found in out:
+            s, e = block * size, min((block + 2) * size, int(sizes[d]))
+            if run:
+                more = repeat_keys(each[d][s:e], size)
+                found = np.concatenate([found, more[keys.has(more)]])
+            if len(found):
+                rows.append((doc[d], block, size, found, np.unique(each[d][s:e]).view(np.int64), " ".join(texts[d][s : e + width - 1])))
+        return rows
+
     def part_segments(part: Partition, shingles, sizes, first, flags, keys: KeySet) -> list[tuple]:
         u = part.size
         n_blocks = -(-sizes // u)

@@ -85,6 +85,11 @@ def test_edited_passages_are_found(spark):
     assert len(truth) > 150 and got <= truth and len(got) >= 0.95 * len(truth)
 
 
+def test_slices_hold_all_texts():
+    texts = ["a" * n for n in (3, 4, 10, 1, 1, 0, 9)]
+    assert list(leakage.text_slices(texts, 8)) == [(0, 2), (2, 3), (3, 6), (6, 7)] and list(leakage.text_slices([])) == []
+
+
 def test_partitions_bound_the_chance_to_miss():
     for part in (*leakage.item_partitions(0.5), leakage.run_partition(13)):
         assert (1 - part.similarity) ** part.n_minima <= leakage.MISS * 1.001 or part.n_minima == 512
