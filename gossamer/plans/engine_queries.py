@@ -696,7 +696,7 @@ def r7(spark, d):
 @query("r10_batches", "SELECT count(DISTINCT msg_id) AS n FROM frontier_message")
 def r10(spark, d):
     """Back-pressure: one file a trigger, whatever the log's length."""
-    return frontier.drain(log_stream(spark, d, 1).select("msg_id").dropDuplicates(["msg_id"]), "r10").agg(F.count("*").alias("n"))
+    return frontier.drain(log_stream(spark, d, 1).select("msg_id").dropDuplicates(["msg_id"]), "r10", settings=frontier.small_batches(spark)).agg(F.count("*").alias("n"))
 
 
 @query("r11_host_tasks", f"SELECT {HOST_SQL('url')} AS host, 1::BIGINT AS tasks FROM frontier_message WHERE {HOST_SQL('url')} IS NOT NULL GROUP BY 1")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,11 +29,35 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | N
     return reader.parquet(path)
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, object]) -> Iterator[None]:
+    """The session with these settings; a stream keeps those it was started under."""
+    held = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession) -> dict[str, object]:
+    """Settings of a stream of many small batches with state: a batch opens and commits the state of every partition, however few rows it has,
+    so there are as many as cores. What a batch changes is logged, and the state lies outside the heap."""
+    store = "spark.sql.streaming.stateStore"
+    return {
+        "spark.sql.shuffle.partitions": spark.sparkContext.defaultParallelism,
+        f"{store}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        f"{store}.rocksdb.changelogCheckpointing.enabled": "true",
+    }
+
+
+def drain(stream: DataFrame, name: str, mode: str = "append", settings: dict[str, object] | None = None) -> DataFrame:
     """Run a stream over what is there, into Parquet under the shared folder, and give the result as a table.
 
     Every micro-batch writes its own folder, so a replayed batch overwrites itself: at-least-once delivery, exactly-once result.
-    In complete mode the last batch is the result.
+    In complete mode the last batch is the result. ``settings`` hold for the stream alone.
     """
     spark = stream.sparkSession
     out = scratch(spark, name)
@@ -40,7 +66,9 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
         target = f"{out}/data/batch={0 if mode == 'complete' else number}"
         batch.write.mode("overwrite").parquet(target)
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    with _settings(spark, settings or {}):
+        running = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").foreachBatch(write).trigger(availableNow=True).start()
+    running.awaitTermination()
     rows = spark.read.schema(stream.schema).parquet(f"{out}/data/batch=*") if _written(spark, f"{out}/data") else spark.createDataFrame([], stream.schema)
     return rows
 

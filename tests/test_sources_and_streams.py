@@ -106,3 +106,23 @@ def test_fetches_run_side_by_side_in_order(spark):
     got = fetch.fetch(requests, transport, fetch.FetchOptions(connections=20)).collect()
     assert [r["url"] for r in got] == [f"https://x.example/{i}" for i in range(40)] and all(bytes(r["body"]) == r["url"].encode() for r in got)
     assert max(r["elapsed"] for r in got) < 40 * 0.2 and time.monotonic() - began < 40 * 0.2
+
+
+def test_batches_of_a_long_log_open_few_states(spark, tmp_path, monkeypatch):
+    import os
+
+    from gossamer.plans import QUERIES
+
+    log = spark.range(90).select((F.col("id") % 70).alias("msg_id"))
+    log.repartition(3).write.parquet(str(tmp_path / "frontier_message.parquet"))
+    monkeypatch.setattr(frontier, "scratch", lambda session, name: str(tmp_path / name))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        assert QUERIES["r10_batches"](spark, str(tmp_path)).first()["n"] == 70
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40" and spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    # One batch a file, each with the state of as many partitions as there are cores.
+    assert sorted(os.listdir(tmp_path / "r10/data")) == ["batch=0", "batch=1", "batch=2"]
+    assert len([x for x in os.listdir(tmp_path / "r10/state/state/0") if x.isdigit()]) == spark.sparkContext.defaultParallelism
