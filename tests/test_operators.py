@@ -269,6 +269,34 @@ def test_a_long_chain_of_fingerprints(spark):
     assert {r["id"]: r["duplicate"] for r in dedup.greedy_leaders(df).collect()} == want
 
 
+def test_generations_of_leaders_form_few_pairs(spark, monkeypatch):
+    """Dense clusters and one hot band: the sequential rule's answer, without all the pairs of a cluster."""
+    import random
+
+    rng = random.Random(5)
+    bases = [(7 << 48) | rng.getrandbits(48) for _ in range(8)]
+    fps = [b ^ flip for b in bases for flip in (0, *(1 << i for i in range(64)))] + [(7 << 48) | rng.getrandbits(48) for _ in range(200)]
+    rng.shuffle(fps)
+    leaders, want = [], {}
+    for i, fp in enumerate(fps):
+        want[f"{i:04}"] = any((fp ^ o).bit_count() <= 3 for o in leaders)
+        if not want[f"{i:04}"]:
+            leaders.append(fp)
+    stored = []
+
+    def counted(df, cut=dedup.cut_lineage):
+        held = cut(df)
+        stored.append(held.count() if held.columns == ["late", "early"] else 0)
+        return held
+
+    monkeypatch.setattr(dedup, "SMALL", 100, raising=False)
+    monkeypatch.setattr(dedup, "cut_lineage", counted)
+    df = spark.createDataFrame([(f"{i:04}", signed64(fp)) for i, fp in enumerate(fps)], "id string, fp long")
+    assert {r["id"]: r["duplicate"] for r in dedup.greedy_leaders(df).collect()} == want
+    pairs = sum((a ^ b).bit_count() <= 3 for k, a in enumerate(fps) for b in fps[:k])
+    assert 8 * 2000 < pairs and sum(stored) < pairs / 4
+
+
 def test_a_cluster_must_name_its_folder(monkeypatch):
     from gossamer import session
 
