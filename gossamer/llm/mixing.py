@@ -1,7 +1,7 @@
 """Mixing sources to target weights: iterative proportional fitting over token margins, then calibrated sampling.
 
 1. Tokens of each text are counted with a public tokenizer; equal texts count as one, whatever rows they come from. A text's language
-   is found by the automata of ``langid``, its topic by the clusters of ``topics``; both models are fitted on bounded samples.
+   is found by the automata of ``langid``, which learn from a bounded labelled text a language, its topic by the clusters of ``topics``, fitted on all texts.
 2. Tokens are summed per cell (source, language, topic): a table bounded by the product of the margins' categories.
 3. Cell weights (expected uses of a text) are raked to the source shares, and towards the language and topic margins, within
    0 and the source's cap. The total is the largest for which every source can give its share.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gossamer.llm.frames import frame
 from gossamer.llm.langid import parser_of, text_languages, training_texts
-from gossamer.llm.topics import TopicModel, fitted_topics
+from gossamer.llm.topics import BLOCK_SCHEMA, TopicModel, block_rows, fit_blocks, packed_vectors, vectors_of
 from gossamer.session import cut_lineage, spread
 
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -45,24 +45,39 @@ def encoding_of(path: str):
 
 
 def sized_texts(documents: DataFrame, tokenizer: str | None = None, training: dict[str, str] | None = None, topics: TopicModel | None = None) -> DataFrame:
-    """(doc_id, text_id, n_tokens, topic, source, language) of every text; source trimmed and in lower case, "" if null; language "none" if it is in none."""
+    """(doc_id, text_id, n_tokens, topic, source, language) of every text; source trimmed and in lower case, "" if null; language "none" if it is in none.
+
+    Texts are read once: their word vectors are stored in blocks, on which the topics are fitted and then named.
+    """
     path = tokenizer or os.path.join(TOKENIZER_DIR, TOKENIZER_FILE)
     training = training_texts(documents) if training is None else training
-    topics = fitted_topics(documents, training) if topics is None else topics
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoding_of(path).encode_ordinary
         parser = parser_of(training) if training else None
         for batch in batches:
             texts = batch["text"].tolist()
-            ids = [np.frombuffer(xxhash.xxh3_64_digest(t.encode("utf-8", "surrogatepass")), dtype=np.int64)[0] for t in texts]
-            spoken = text_languages(parser, texts)
-            named = topics.topics_of(texts, spoken)
-            yield frame(doc_id=batch["doc_id"], text_id=ids, n_tokens=[len(encode(t)) for t in texts], topic=named, source=batch["source"], language=[x or "none" for x in spoken])
+            columns = {
+                "doc_id": batch["doc_id"].tolist(),
+                "text_id": [int(np.frombuffer(xxhash.xxh3_64_digest(t.encode("utf-8", "surrogatepass")), dtype=np.int64)[0]) for t in texts],
+                "language": text_languages(parser, texts),
+                "n_tokens": [len(encode(t)) for t in texts],
+                "source": batch["source"].tolist(),
+            }
+            yield pd.DataFrame(block_rows(*packed_vectors(texts), columns), columns=[*columns, "sizes", "at", "value"])
 
     source = F.lower(F.trim(F.coalesce("source", F.lit(""))))
     rows = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", source.alias("source"))
-    return spread(rows).mapInPandas(run, "doc_id long, text_id long, n_tokens long, topic string, source string, language string")
+    blocks = cut_lineage(spread(rows).mapInPandas(run, f"{BLOCK_SCHEMA}, n_tokens array<long>, source array<string>"))
+    model = fit_blocks(blocks, sorted(training)) if topics is None else topics
+
+    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                named = model.nearest(*vectors_of(row), row.language)
+                yield frame(doc_id=row.doc_id, text_id=row.text_id, n_tokens=row.n_tokens, topic=named, source=row.source, language=[x or "none" for x in row.language])
+
+    return blocks.mapInPandas(name, "doc_id long, text_id long, n_tokens long, topic string, source string, language string")
 
 
 def distinct_texts(sized: DataFrame, wanted: list[str]) -> DataFrame:

@@ -192,6 +192,38 @@ def test_topics_are_found_apart_from_the_language():
     assert model.topics_of(["", "a b c"], ["en", None]) == ["other", "other"] and topics.fit_topics([], []).topics_of(["dough"], [None]) == ["other"] and model.topics_of([], []) == []
 
 
+def _field_texts(n: int) -> list[str]:
+    rng = random.Random(6)
+    fields = [[f"{a}{b}word" for b in "abcdefghijklmn"] for a in "bcdfghkl"]
+    return [" ".join(rng.choices(fields[rng.randrange(8)], k=14) + rng.choices(["about", "these", "their"], k=4) + ([f"rare{i}"] if i % 9 == 0 else [])) for i in range(n)]
+
+
+def test_topics_are_fitted_on_all_texts(spark):
+    texts = _field_texts(4000)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, whole = topics.fitted_topics(docs.repartition(5), {}), topics.fit_topics(texts, [None] * len(texts))
+    assert np.allclose(model.weight, whole.weight) and np.allclose(model.centres, whole.centres, atol=1e-4)
+    again = topics.fitted_topics(docs.repartition(2), {})
+    assert np.array_equal(model.centres, again.centres)  # whatever the partitions
+    none = topics.fitted_topics(docs.limit(0), {})
+    assert len(none.centres) == 0
+
+
+def test_blocks_give_the_model_of_their_texts(spark, monkeypatch):
+    texts = [*_field_texts(600), "", "a b"]
+    spoken = [("en", "nl", None)[i % 3] for i in range(len(texts))]
+    monkeypatch.setattr(topics, "BLOCK_TEXTS", 50)
+    monkeypatch.setattr(topics, "DIRECT", 3)  # sums in two steps
+    ids = list(range(len(texts)))
+    rows = list(topics.block_rows(*topics.packed_vectors(texts), {"doc_id": ids, "text_id": ids, "language": spoken}))
+    assert len(rows) == 13
+    columns = ["doc_id", "text_id", "language", "sizes", "at", "value"]
+    blocks = spark.createDataFrame([tuple(r[c] for c in columns) for r in rows], topics.BLOCK_SCHEMA).repartition(7)
+    model, whole = topics.fit_blocks(blocks, ["en", "nl"]), topics.fit_topics(texts, spoken)
+    assert np.allclose(model.centres, whole.centres, atol=1e-4) and all(np.allclose(model.shift[x], whole.shift[x], atol=1e-4) for x in ("en", "nl", None))
+    assert model.topics_of(texts, spoken) == whole.topics_of(texts, spoken)
+
+
 # Languages
 
 
